@@ -41,7 +41,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = docs.select(*digit).groupBy("_tm_len", "_tm_head").count().filter("count > 1")
     shared = scratch.save(shared.select("_tm_len", "_tm_head", F.monotonically_increasing_id().alias("_tm_gid")), "heads")
     text = F.col(f"`{text_col}`")
-    split = docs.select(*[F.col(f"`{c}`") for c in carried], text.alias("_tm_text"), *digit).join(shared, ["_tm_len", "_tm_head"], "left")
+    split = docs.select(*[F.col(f"`{c}`") for c in carried], text.alias("_tm_text"), *digit).join(shared.hint("merge"), ["_tm_len", "_tm_head"], "left")
     split = split.select(
         *[F.col(f"`{c}`") for c in carried],
         (F.col("_tm_text") if with_text else F.when(F.col("_tm_gid").isNotNull(), F.col("_tm_text"))).alias("_tm_text"),
@@ -57,7 +57,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         groups = keyed.groupBy("_tm_gid", "_tm_digit").agg(F.count(F.lit(1)).alias("_tm_n"), F.max(F.struct("_tm_id", "_tm_rid")).alias("_tm_keep"))
         groups = scratch.save(groups.withColumn("_tm_next", F.monotonically_increasing_id()), f"groups{level}")
         done = (F.col("_tm_n") == 1) | (F.col("_tm_len") <= offset + width)
-        step = keyed.join(groups, ["_tm_gid", "_tm_digit"]).select(
+        step = keyed.join(groups.hint("merge"), ["_tm_gid", "_tm_digit"]).select(
             "_tm_rid", "_tm_id", F.col("_tm_next").alias("_tm_gid"), "_tm_len", done.alias("_tm_done"), "_tm_n", "_tm_keep",
             F.when(~done, F.expr(f"substring(_tm_rest, {width + 1})")).alias("_tm_rest"),
         )
