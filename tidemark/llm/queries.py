@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, simhash
+from . import exact, packing, simhash, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(documents(spark, sf_dir))
+
+
 OP6_SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -37,7 +45,12 @@ FROM documents
 
 
 def queries() -> dict[str, Query]:
-    return {"op5_simhash": op5_simhash, "op6_exact_dedup": op6_exact_dedup}
+    return {
+        "op5_simhash": op5_simhash,
+        "op6_exact_dedup": op6_exact_dedup,
+        "op7_packing": op7_packing,
+        "op9_token_file": op9_token_file,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
