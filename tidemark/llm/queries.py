@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, packing, simhash, tokenfile
+from . import exact, mixing, packing, simhash, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,47 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position", "_tm_order")
+    return mixing.in_order(mixed)
+
+
+OP1_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS k,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size)::BIGINT AS most,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
+  FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, [3, 1, 2][rank % 3 + 1] AS weight FROM sources
+), levels AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER w, 0))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
+  FROM weighed
+  WINDOW w AS (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT *, least(most, weight * max(level) OVER ()) AS target FROM levels
+), placed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, t.rank % 3 AS shape, floor(t.target + 0.5)::BIGINT AS goal,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.doc_id, s.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), parts AS (
+  SELECT *, ahead::DOUBLE / greatest(target, 1.0::DOUBLE) AS part FROM placed
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (least(greatest(goal - ahead, 0), size) + least(greatest(goal - ahead - source_size, 0), size))::BIGINT AS taken,
+       CASE WHEN ahead >= goal THEN NULL
+            WHEN shape = 0 THEN 2.0::DOUBLE * part / ((4.0::DOUBLE / 3.0::DOUBLE) + sqrt(greatest((4.0::DOUBLE / 3.0::DOUBLE) * (4.0::DOUBLE / 3.0::DOUBLE) - 2.0::DOUBLE * (4.0::DOUBLE / 3.0::DOUBLE - 2.0::DOUBLE / 3.0::DOUBLE) * part, 0.0::DOUBLE)))
+            WHEN shape = 1 THEN part
+            ELSE 2.0::DOUBLE * part / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2.0::DOUBLE * part)) END AS position
+FROM parts
+"""
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -46,6 +87,7 @@ FROM documents
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_mixing": op1_mixing,
         "op5_simhash": op5_simhash,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_packing": op7_packing,
@@ -54,4 +96,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op1_mixing": OP1_SQL, "op6_exact_dedup": OP6_SQL}
