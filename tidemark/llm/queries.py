@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, packing, simhash, tokenfile
+from . import exact, langid, mixing, packing, quality, simhash, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,18 @@ FROM parts
 """
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.score(docs, quality.train(docs, labels))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    held_out = F.coalesce(quality.fold("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, F.col("_tm_lang").alias("lang_pred"), F.col("_tm_score").alias("score"), F.col("_tm_rejected").alias("rejected"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -88,6 +100,8 @@ FROM documents
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_quality": op2_quality,
+        "op4_language": op4_language,
         "op5_simhash": op5_simhash,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_packing": op7_packing,
