@@ -29,7 +29,7 @@ DIMENSIONS = 2048
 SAMPLE = 600
 CENTROIDS = 4
 ROUNDS = 12
-MARGIN = 0.05
+MARGIN = 0.2
 #: Texts with fewer different dimensions than these are compared among themselves: short texts are far from any centroid.
 LENGTHS = (40, 100, 250)
 LEAST_TEXTS = 15  # of a language and length, for any text like it to be rejected
