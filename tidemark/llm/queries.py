@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, mixing, packing, quality, simhash, tokenfile
+from . import exact, langid, media, mixing, packing, quality, simhash, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,6 +83,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(documents(spark, sf_dir)).withColumn("tile_crc32", F.crc32("tile")).drop("tile")
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(documents(spark, sf_dir))
 
@@ -105,6 +109,7 @@ def queries() -> dict[str, Query]:
         "op5_simhash": op5_simhash,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_packing": op7_packing,
+        "op8_media": op8_media,
         "op9_token_file": op9_token_file,
     }
 
