@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,7 +19,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
+#: ASCII punctuation that cannot begin a contraction or a special token.
+PUNCTUATION = '!"#$%&()*+,-./:;=>?@[\\]^_`{|}~'
+#: The printable stand-ins of byte-level vocabularies: bytes that print stand for themselves, the others follow from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+STAND_INS = {b: b if b in _PRINTED else 256 + k for k, b in enumerate([b for b in range(256) if b not in _PRINTED])} | {b: b for b in _PRINTED}
 BATCH_BYTES = 4 << 20
 SPACE = b" \t\n\r\x0b\x0c"
 
@@ -34,18 +40,43 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known, self.stems, self.tails = {}, {}, {"": b""}
+        self.model = self.tokenizer.model
+
+    def stem(self, word: str) -> bytes:
+        """The ids of a lower-case word of Latin letters, which the library's normaliser leaves as it is and its splitter whole."""
+        ids = self.stems.get(word)
+        if ids is None:
+            units = word if word.isascii() else word.encode().decode("latin-1").translate(STAND_INS)
+            ids = self.stems[word] = array("I", [t.id for t in self.model.tokenize(units)]).tobytes()
+        return ids
 
     def words(self, words: list[str]) -> list[bytes]:
         """The ids of each word as little-endian 32-bit integers."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, words
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [self.known[w] for w in words]
+        known = self.known
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > CACHED_WORDS:
+            known, new = {}, words
+            self.known = known
+        if len(self.stems) > CACHED_WORDS:
+            self.stems = {}
+        others = []
+        for w in new:
+            low = w.lower()
+            stem = low.rstrip(PUNCTUATION)
+            tail = self.tails.get(low[len(stem) :])
+            if stem.isalpha() and tail is not None and (stem.isascii() or max(stem) < "\u0250"):
+                known[w] = self.stem(stem) + tail
+            else:
+                others.append(w)
+                if stem.isalpha() and len(self.tails) < 1000:  # from the next time on
+                    self.tails[low[len(stem) :]] = self.encoded([low[len(stem) :]])[0]
+        known.update(zip(others, self.encoded(others), strict=True))
+        return [known[w] for w in words]
+
+    def encoded(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for at in range(0, len(words), 20_000) for e in self.tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False)]
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each text starts (with the end of the last)."""
