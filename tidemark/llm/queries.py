@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, media, mixing, packing, quality, simhash, tokenfile
+from . import exact, langid, media, mixing, packing, pii, quality, simhash, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,6 +91,10 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(documents(spark, sf_dir))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 OP6_SQL = """
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -111,6 +115,7 @@ def queries() -> dict[str, Query]:
         "op7_packing": op7_packing,
         "op8_media": op8_media,
         "op9_token_file": op9_token_file,
+        "op10_personal_data": op10_personal_data,
     }
 
 
