@@ -1,4 +1,63 @@
-STAGES = []
+"""A corpus from raw documents to packed sequences, in five stages over whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import exact, langid, mixing, packing, simhash
+from tidemark.llm.scratch import Scratch
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; texts without a letter, or unlike any training text, go."""
+    return langid.identify(docs, langid.train(docs)).filter("not _tm_rejected").select(*docs.columns)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, that of the largest id."""
+    return exact.exact_dedup(docs, with_text=True).filter("kept").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of close fingerprints, that of the least id; rows that share an id are one document."""
+    found = simhash.near_duplicates(docs)
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_tm_stay")).distinct()
+    return docs.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_tm_stay")), "left_semi")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights ask for them, in training order."""
+    return mixing.repeated(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in packed sequences."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
+    ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
+    ("mixture", mixture),
+    ("sequences", sequences),
+]
+#: Fingerprints, centroids and token ids are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.range(0)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents; each reads what the one before wrote."""
+    scratch, docs = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.save(docs, name)
+            if k:
+                scratch.drop(STAGES[k - 1][0])
+    return docs

@@ -116,8 +116,10 @@ def _centroids(idf: np.ndarray):
         x = np.concatenate([vectors(part, idf) for part in parts(pa.array(group["text"], pa.large_string()))])
         centroids = cluster(x).astype(np.float32)
         far, length = 1 - (x @ centroids.T).max(axis=1), length_class(x)
-        reach = [float(far[length == k].max()) + MARGIN if (length == k).sum() >= LEAST_TEXTS else 1.0 for k in range(len(LENGTHS) + 1)]
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "reach": [reach] * len(centroids), "centroid": [c.tobytes() for c in centroids]})
+        reach = [1.0]
+        for k in range(len(LENGTHS) + 1):  # where there are few texts, what holds for shorter ones
+            reach.append(float(far[length == k].max()) + MARGIN if (length == k).sum() >= LEAST_TEXTS else reach[-1])
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "reach": [reach[1:]] * len(centroids), "centroid": [c.tobytes() for c in centroids]})
 
     return run
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, media, mixing, packing, pii, quality, simhash, tokenfile
+from . import exact, langid, media, mixing, packing, pii, quality, simhash, substring, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, labels))
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(documents(spark, sf_dir))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
@@ -109,6 +113,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_mixing": op1_mixing,
         "op2_quality": op2_quality,
+        "op3_substring": op3_substring,
         "op4_language": op4_language,
         "op5_simhash": op5_simhash,
         "op6_exact_dedup": op6_exact_dedup,
