@@ -30,8 +30,3 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
-
-def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The sum of values between each start and the next; 0 where there are none."""
-    total = np.r_[0, np.cumsum(values, dtype=np.int64)]
-    return total[starts[1:]] - total[starts[:-1]]

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import parts, sums, text_bytes
+from .arrays import parts, text_bytes
 
 POSITIVES, UNLABELLED = 6000, 12_000
 THRESHOLD = 0.3
@@ -48,16 +48,16 @@ def features(texts: pa.Array) -> np.ndarray:
     split = pc.ascii_split_whitespace(texts)
     at = split.offsets.to_numpy() - split.offsets[0].as_py()
     flat = split.flatten().dictionary_encode()
-    code, words = flat.indices.to_numpy().astype(np.int64), np.diff(at)
+    code, words, base = flat.indices.to_numpy().astype(np.int64), np.diff(at), len(flat.dictionary) + 1
     owner = np.repeat(np.arange(n), words)
-    one = np.unique(owner * (len(flat.dictionary) + 1) + code, return_counts=True)
-    owned = one[0] // (len(flat.dictionary) + 1)
-    distinct = np.bincount(owned, minlength=n)
+    one, times = np.unique(owner * base + code, return_counts=True)
+    distinct = np.bincount(one // base, minlength=n)
     top = np.zeros(n, np.int64)
-    np.maximum.at(top, owned, one[1])
-    same = sums(np.r_[False, (code[1:] == code[:-1]) & (owner[1:] == owner[:-1])] if len(code) else code, at)
-    two = np.unique((owner[1:] * (len(flat.dictionary) + 1) + code[1:]) * 1_000_003 + code[:-1]) if len(code) else code
-    twos = np.bincount(two // 1_000_003 // (len(flat.dictionary) + 1), minlength=n)[:n] if len(code) else np.zeros(n)
+    np.maximum.at(top, one // base, times)
+    inner = owner[1:] == owner[:-1]
+    same = np.bincount(owner[1:][inner & (code[1:] == code[:-1])], minlength=n)
+    two = np.unique(np.searchsorted(one, owner[1:] * base + code[1:])[inner] * base + code[:-1][inner])  # the first of a pair, as a place in one
+    twos = np.bincount(one[two // base] // base, minlength=n)
     count = np.maximum(words, 1)
     more = np.column_stack([np.log1p(size), distinct / count, top / count, same / count, twos / count, np.log1p(words) * distinct / count, size / count / 10])
     return np.hstack([np.sqrt(pairs), more]).astype(np.float32)
