@@ -101,7 +101,7 @@ def mix(docs: DataFrame, carry: Sequence[str] = ("doc_id",), id_col: str = "doc_
     base = scratch.save(base.join(sources.drop("source"), "_tm_key"), "base")
 
     inner = Window.partitionBy("_tm_key", "_tm_bucket").orderBy("_tm_order", "_tm_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.drop("source").join(base, ["_tm_key", "_tm_bucket"]).withColumn("_tm_at", F.col("_tm_base") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    placed = keyed.drop("source").join(base.hint("merge"), ["_tm_key", "_tm_bucket"]).withColumn("_tm_at", F.col("_tm_base") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     goal = F.floor(F.col("target") + 0.5)
     passes = []
     for k in range(cap):
