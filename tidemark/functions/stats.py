@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -44,16 +45,16 @@ def normal_cdf(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_cdf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) else student_cdf(a, b) for a, b in zip(t, df, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binom_sf(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) or pd.isna(c) else binomial_tail(a, b, c) for a, b, c in zip(k, n, p, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def norm_cdf(z: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else normal_cdf(a) for a in z], dtype="float64")

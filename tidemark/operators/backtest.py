@@ -48,7 +48,7 @@ def run(rows: DataFrame, cost: float = 0.001, slippage: float = 0.0, per_roll: f
     weight, the trade with its cost, then the day on the new weight. A null
     target holds; targets are clipped to [-1, 1].
     """
-    out = rows.withColumn("_pending", F.coalesce(forward_filled(F.least(F.greatest(F.col("target"), F.lit(-1.0)), F.lit(1.0))), F.lit(0.0)))
+    out = rows.withColumn("_pending", F.coalesce(forward_filled(F.when(F.col("target").isNotNull(), F.least(F.greatest(F.col("target"), F.lit(-1.0)), F.lit(1.0)))), F.lit(0.0)))
     out = out.withColumn("position", F.coalesce(previous("_pending"), F.lit(0.0))).withColumn("_held", F.coalesce(previous("position"), F.lit(0.0))).withColumn("_close", previous("close"))
     out = out.withColumn("trade", F.col("position") - F.col("_held"))
     opened = F.when(F.col("open") > 0, F.col("open")).otherwise(F.col("_close"))

@@ -89,7 +89,7 @@ column("bollinger_bandwidth", lambda: indicators.bollinger(c("close"))["bandwidt
 column("true_range", lambda: indicators.true_range(c("high"), c("low"), c("close")), "CASE WHEN lag(close) OVER (PARTITION BY symbol ORDER BY date) IS NOT NULL THEN greatest(high - low, abs(high - lag(close) OVER (PARTITION BY symbol ORDER BY date)), abs(low - lag(close) OVER (PARTITION BY symbol ORDER BY date))) END", 4)
 column("drawdown", lambda: indicators.drawdown(c("close")), f"close / max(close) {over()} - 1")
 column("cum_returns_60", lambda: rolling(F.sum, c("ret"), 60, 36), guard(f"sum(ret) {over(60)}", "ret", 60, 36))
-column("month_cyclical", lambda: F.sin(F.lit(2 * 3.141592653589793) * F.month("date") / 12), "sin(2 * 3.141592653589793 * month(date) / 12)")
+column("month_cyclical", lambda: F.sin(F.lit(2 * 3.141592653589793) * F.month("date") / 12) + 1, "sin(2 * 3.141592653589793 * month(date) / 12) + 1")  # from 0 to 2: no negative zero
 column("weekday_monday_zero", lambda: F.weekday("date").cast("double"), "CAST(isodow(date) - 1 AS DOUBLE)")
 column("volume_z20", lambda: rolling(F.avg, F.log("volume"), 20, 12), guard(f"avg(ln(volume)) {over(20)}", "volume", 20, 12))
 column("range_pct_14", lambda: previous(rolling(F.avg, (c("high") - c("low")) / c("close"), 14, 8)), "lag(a) OVER (PARTITION BY symbol ORDER BY date)", view=f"(SELECT *, {guard(f'avg((high - low) / close) {over(14)}', 'close', 14, 8)} AS a FROM returns)")
@@ -227,8 +227,8 @@ def last_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 CURVE = "curve AS (SELECT l_returnflag || l_linestatus AS symbol, CAST(DATE '2020-01-01' + CAST(l_linenumber AS INT) * 30 AS DATE) AS expiry, avg(l_extendedprice) AS settle FROM lineitem GROUP BY 1, 2)"
 
 
-@register("curve_metrics", f"""WITH {CURVE}, s AS (SELECT *, row_number() OVER w AS at, lead(settle) OVER w AS nxt, lead(expiry) OVER w AS ne FROM curve WINDOW w AS (PARTITION BY symbol ORDER BY expiry))
-SELECT symbol, round(max(settle - nxt) FILTER (WHERE at = 1), 4) AS m1_m2, round(max(ln(settle / nxt) / (date_diff('day', expiry, ne) / 365.25)) FILTER (WHERE at = 1), 6) AS roll_yield, round(arg_min(settle, expiry) - arg_max(settle, expiry), 4) AS front_back,
+@register("curve_metrics", f"""WITH {CURVE}, s AS (SELECT *, row_number() OVER w AS place, lead(settle) OVER w AS nxt, lead(expiry) OVER w AS ne FROM curve WINDOW w AS (PARTITION BY symbol ORDER BY expiry))
+SELECT symbol, round(max(settle - nxt) FILTER (WHERE place = 1), 4) AS m1_m2, round(max(ln(settle / nxt) / (date_diff('day', expiry, ne) / 365.25)) FILTER (WHERE place = 1), 6) AS roll_yield, round(arg_min(settle, expiry) - arg_max(settle, expiry), 4) AS front_back,
 CASE WHEN bool_and(coalesce(abs(nxt / settle - 1) <= 0.001, true)) THEN 'flat' WHEN bool_and(coalesce(nxt / settle - 1 <= 0.001, true)) THEN 'backwardation' WHEN bool_and(coalesce(nxt / settle - 1 >= -0.001, true)) THEN 'contango' ELSE 'mixed' END AS shape FROM s GROUP BY symbol""")
 def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     settles = table(spark, sf_dir, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.expr("date_add(DATE '2020-01-01', l_linenumber * 30)").alias("expiry")).agg(F.avg("l_extendedprice").alias("settle"))
@@ -286,9 +286,9 @@ def asof_period(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # backtests
-@register("backtest_sma", f"""WITH {BARS}, t AS (SELECT *, CASE WHEN count(close) {over(200)} >= 200 THEN CASE WHEN avg(close) {over(50)} > avg(close) {over(200)} THEN 1.0 ELSE 0.0 END END AS target, lag(close) OVER w AS pc FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
-p AS (SELECT *, coalesce(last_value(target IGNORE NULLS) {over()}, 0) AS pend FROM t), q AS (SELECT *, coalesce(lag(pend) OVER w, 0) AS pos FROM p WINDOW w AS (PARTITION BY symbol ORDER BY date)),
-h AS (SELECT *, coalesce(lag(pos) OVER (PARTITION BY symbol ORDER BY date), 0) AS held FROM q),
+@register("backtest_sma", f"""WITH {BARS}, t AS (SELECT *, CASE WHEN count(close) {over(200)} >= 200 THEN CASE WHEN avg(close) {over(50)} > avg(close) {over(200)} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS target, lag(close) OVER w AS pc FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+p AS (SELECT *, coalesce(last_value(target IGNORE NULLS) {over()}, 0::DOUBLE) AS pend FROM t), q AS (SELECT *, coalesce(lag(pend) OVER w, 0::DOUBLE) AS pos FROM p WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+h AS (SELECT *, coalesce(lag(pos) OVER (PARTITION BY symbol ORDER BY date), 0::DOUBLE) AS held FROM q),
 f AS (SELECT *, CASE WHEN pc IS NULL THEN 1 ELSE (1 + held * (open / pc - 1)) * (1 - abs(pos - held) * 0.001) * (1 + pos * (close / open - 1)) END AS f FROM h)
 SELECT symbol, date, pos AS position, pos - held AS trade, round(ln(product(f) {over()}), 5) AS log_equity FROM f""")
 def backtest_sma(spark: SparkSession, sf_dir: str) -> DataFrame:
