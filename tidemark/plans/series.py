@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import midrank, ordered, previous, rolling, trailing
-from tidemark.operators import backtest, bars, fundamentals, indicators, pit, quality, regimes, risk, rolls, text
+from tidemark.operators import backtest, bars, evaluate, features, forecast, fundamentals, indicators, pit, quality, regimes, risk, rolls, text
 from tidemark.sources.tables import table
 
 from . import closed_days
@@ -65,6 +65,10 @@ def c(name: str) -> Column:
     return F.col(name)
 
 
+def newest_first():
+    return Window.partitionBy("symbol").orderBy(c("date").desc())
+
+
 @register("flagship", None)
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest row of each symbol: averages, volatility, RSI, trend, and the weekly value that was public by then."""
@@ -326,3 +330,111 @@ register("run_summary", "SELECT user_id, count(*) AS n, count(*) FILTER (WHERE e
     lambda spark, sf_dir: table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("event_type") == "purchase").alias("purchases"), F.round(F.sum("value"), 2).alias("total"), F.max_by("event_type", "event_id").alias("last_type"))
 )
 register("rating_from_score", "SELECT c_custkey, CASE WHEN s >= 0.45 THEN 'strong_buy' WHEN s >= 0.15 THEN 'buy' WHEN s <= -0.45 THEN 'strong_sell' WHEN s <= -0.15 THEN 'sell' ELSE 'hold' END AS rating FROM (SELECT c_custkey, c_acctbal / 10000 AS s FROM customer)")(lambda spark, sf_dir: table(spark, sf_dir, "customer").select("c_custkey", regimes.rating(c("c_acctbal") / 10000).alias("rating")))
+
+
+# features, folds and forecasts
+FEATURES = ("r1", "cum_5", "cum_20", "cum_60", "vol_5", "vol_20", "vol_60", "vol_ratio_5_60", "dist_sma20", "dist_sma50", "dd_252")
+
+
+def rolled(f: str, n: int, least: int, x: str = "ret") -> str:
+    return guard(f"{f}({x}) {over(n)}", x, n, least)
+
+
+@register("features_wide", f"""WITH {RETURNS}, l AS (SELECT *, exp(sum(coalesce(ret, 0)) {over()}) AS level FROM returns), f AS (SELECT symbol, date, ret AS r1,
+  {rolled("sum", 5, 3)} AS cum_5, {rolled("sum", 20, 12)} AS cum_20, {rolled("sum", 60, 36)} AS cum_60, {rolled("stddev_samp", 5, 3)} AS vol_5, {rolled("stddev_samp", 20, 12)} AS vol_20, {rolled("stddev_samp", 60, 36)} AS vol_60,
+  level / {rolled("avg", 20, 20, "level")} - 1 AS dist_sma20, level / {rolled("avg", 50, 50, "level")} - 1 AS dist_sma50, level / {rolled("max", 252, 60, "level")} - 1 AS dd_252 FROM l)
+SELECT symbol, date, {", ".join(f"round({x}, 5) AS {x}" for x in FEATURES if x != "vol_ratio_5_60")}, round(vol_5 / vol_60, 5) AS vol_ratio_5_60 FROM f""")
+def features_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.price_features(day_returns(spark, sf_dir)).select("symbol", "date", *[F.round(x, 5).alias(x) for x in FEATURES])
+
+
+@register("dataset_asof_features")
+def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features, the weekly value that was public at each decision with its age, and labels."""
+    rows = features.with_labels(features.with_recursive(features.price_features(day_returns(spark, sf_dir)))).withColumn("t", pit.utc(c("date"), "14:30:00", "America/New_York"))
+    series = fundamentals.inventory(weekly(spark, sf_dir)).withColumn("available_at", pit.utc(F.next_day("period", "WED"), "10:30:00", "America/New_York"))
+    out = pit.as_of_join(rows, series, "t", "available_at", ["period", "dev_pct", "band_pos", "available_at"], tie="period")
+    return out.withColumn("age_days", F.datediff("date", F.to_date("available_at"))).drop("t", "available_at", "level")
+
+
+@register("feature_leaks", "SELECT CAST(NULL AS VARCHAR) AS symbol, CAST(NULL AS DATE) AS date, CAST(NULL AS VARCHAR) AS column WHERE false")
+def feature_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No row: features of a prefix are the prefix of the features."""
+    return features.leaks(features.price_features, day_returns(spark, sf_dir), F.lit("1998-06-30").cast("date"), list(FEATURES))
+
+
+def one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return day_returns(spark, sf_dir).filter("symbol = 'O'").select((c("pos") - 1).alias("pos"), (c("ret") / 50).alias("ret"))
+
+
+SERIES = RETURNS + ", s AS (SELECT pos - 1 AS pos, ret / 50 AS ret FROM returns WHERE symbol = 'O')"
+FOLDS = """starts AS (SELECT CAST(g AS BIGINT) AS start FROM generate_series(756, (SELECT max(pos) FROM s), 20) t(g)),
+rows AS (SELECT start - 6 AS train_end, CAST(p AS BIGINT) AS pos FROM starts, generate_series(start, least(start + 19, (SELECT max(pos) FROM s))) t(p) WHERE p % 5 = 0),
+ranked AS (SELECT *, dense_rank() OVER (ORDER BY train_end DESC) AS back FROM rows), folds AS (SELECT CAST((SELECT max(back) FROM ranked WHERE back <= 30) - back AS INT) AS fold, train_end, pos FROM ranked WHERE back <= 30)"""
+SUMS5 = "sums AS (SELECT pos, CASE WHEN count(ret) OVER w >= 3 THEN sum(ret) OVER w END AS s FROM s WINDOW w AS (ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))"
+EMPIRICAL = SUMS5 + """, q AS (SELECT f.fold, f.pos, quantile_cont(x.s, 0.1) AS a, quantile_cont(x.s, 0.5) AS b, quantile_cont(x.s, 0.9) AS d, avg(CAST(x.s > 0 AS INT)) AS up
+  FROM folds f JOIN sums x ON x.pos <= f.pos AND x.pos > f.pos - 756 AND x.s IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 252),
+preds AS (SELECT 'naive' AS model, fold, pos, a - b AS q10, b - b AS q50, d - b AS q90, 0.5::DOUBLE AS p_up FROM q UNION ALL SELECT 'drift', fold, pos, a, b, d, up FROM q)"""
+LABEL5 = "y AS (SELECT pos, CASE WHEN lead(pos, 5) OVER (ORDER BY pos) IS NOT NULL AND count(ret) OVER w >= 3 THEN sum(coalesce(ret, 0)) OVER w END AS y FROM s WINDOW w AS (ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))"
+LOSSES = "losses AS (SELECT *, (greatest(0.1 * (y - q10), -0.9 * (y - q10)) + greatest(0.5 * (y - q50), -0.5 * (y - q50)) + greatest(0.9 * (y - q90), -0.1 * (y - q90))) / 3 AS loss FROM preds JOIN y USING (pos) WHERE y IS NOT NULL)"
+
+
+def origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.fold_table(spark, one_series(spark, sf_dir).count())
+
+
+def empirical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.empirical(origins(spark, sf_dir).select("fold", "pos"), one_series(spark, sf_dir), 5)
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.losses(empirical(spark, sf_dir), evaluate.labels(one_series(spark, sf_dir), 5))
+
+
+register("fold_plan", f"WITH {SERIES}, {FOLDS} SELECT fold, train_end, pos FROM folds")(origins)
+register("empirical_quantiles", f"WITH {SERIES}, {FOLDS}, {EMPIRICAL} SELECT model, fold, pos, round(q10, 6) + 0 AS q10, round(q50, 6) + 0 AS q50, round(q90, 6) + 0 AS q90, round(p_up, 6) AS p_up FROM preds")(
+    lambda spark, sf_dir: empirical(spark, sf_dir).select("model", "fold", "pos", *[(F.round(x, 6) + 0).alias(x) for x in ("q10", "q50", "q90")], F.round("p_up", 6).alias("p_up"))
+)
+register("pinball_loss", f"WITH {SERIES}, {FOLDS}, {EMPIRICAL}, {LABEL5}, {LOSSES} SELECT model, pos, round(loss, 6) AS loss FROM losses")(lambda spark, sf_dir: scored(spark, sf_dir).select("model", "pos", F.round("loss", 6).alias("loss")))
+BOARD = f"WITH {SERIES}, {FOLDS}, {EMPIRICAL}, {LABEL5}, {LOSSES}, base AS (SELECT pos, loss AS base_loss, q50 AS base_mid FROM losses WHERE model = 'naive')"
+register("leaderboard_scores", f"{BOARD} SELECT model, count(*) AS n, round(avg(abs(y - q50)), 6) AS mae, round(avg(abs(y - q50)) / avg(abs(y - base_mid)), 6) AS mase, round(avg(loss), 6) AS pinball, round(1 - avg(loss) / avg(base_loss), 5) AS skill, round(avg(CAST(y BETWEEN q10 AND q90 AS INT)), 6) AS coverage, round(avg(pow(p_up - CAST(y > 0 AS INT), 2)), 6) AS brier FROM losses JOIN base USING (pos) GROUP BY model")(
+    lambda spark, sf_dir: evaluate.leaderboard(scored(spark, sf_dir), 5, 12).select("model", "n", *[F.round(x, 5 if x == "skill" else 6).alias(x) for x in ("mae", "mase", "pinball", "skill", "coverage", "brier")])
+)
+
+
+@register("block_means_t", f"{BOARD}, d AS (SELECT l.pos, loss - base_loss AS d, row_number() OVER (ORDER BY l.pos) - 1 AS i, count(*) OVER () AS n FROM losses l JOIN base USING (pos) WHERE model = 'drift'), m AS (SELECT avg(d) AS m FROM d WHERE i // 12 < n // 12 GROUP BY i // 12) SELECT count(*) AS blocks, round(avg(m) / (stddev_samp(m) / sqrt(count(*))), 4) AS t FROM m")
+def block_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored(spark, sf_dir)
+    base = rows.filter("model = 'naive'").select("pos", c("loss").alias("base"))
+    diffs = rows.filter("model = 'drift'").join(base, "pos").select("model", "pos", (c("loss") - c("base")).alias("d"))
+    return evaluate.block_test(diffs, ["model"], 12).select(c("blocks").cast("long").alias("blocks"), F.round("t", 4).alias("t"))
+
+
+@register("walk_forward_leaderboard")
+def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = one_series(spark, sf_dir)
+    return forecast.walk_forward(rows, rows.count(), 5)
+
+
+@register("threshold_signal", f"WITH {SERIES}, {FOLDS}, {EMPIRICAL} SELECT pos, CASE WHEN p_up >= 0.55 THEN 1.0::DOUBLE WHEN p_up <= 0.45 THEN 0.0::DOUBLE ELSE 0.0::DOUBLE END AS target FROM preds WHERE model = 'drift'")
+def threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return empirical(spark, sf_dir).filter("model = 'drift'").select("pos", backtest.threshold_targets(c("p_up")).alias("target"))
+
+
+@register("snapshot_latest")
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One nested row a symbol: price, technicals, regimes, levels, risk, seasonality and the public weekly value."""
+    rows = regimes.vol_regime(regimes.trend_regime(day_returns(spark, sf_dir)))
+    rows = indicators.recursive_indicators(rows.withColumn("change_1d", F.expm1("ret"))).withColumn("change_20d", indicators.pct_change(c("close"), 20)).withColumn("high_252", F.max("high").over(trailing(252))).withColumn("low_252", F.min("low").over(trailing(252)))
+    latest = F.max_by(F.struct("date", "close", "change_1d", "change_20d", "high_252", "low_252"), "date").alias("price")
+    technicals = F.max_by(F.struct("sma_fast", "sma_slow", "rsi14", "macd_hist", "atr14", "trend", "vol20", "vol_pctile", "vol_regime"), "date").alias("technicals")
+    out = rows.groupBy("symbol").agg(latest, technicals)
+    simple = simple_returns(spark, sf_dir).withColumn("back", F.row_number().over(newest_first())).filter("back <= 252").drop("back")
+    risks = risk.summary(simple)
+    month = fundamentals.month_stats(fundamentals.monthly_returns(day_returns(spark, sf_dir)))
+    near = regimes.support_resistance(rows, regimes.swing_pivots(day_bars(spark, sf_dir))).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("side", "rank", "price", "touches"))).alias("levels"))
+    out = out.join(risks.select("symbol", F.struct(*[x for x in risks.columns if x != "symbol"]).alias("risk")), "symbol", "left").join(near, "symbol", "left")
+    season = month.select(c("symbol").alias("_s"), "month", F.struct(*[x for x in month.columns if x != "symbol"]).alias("seasonality"))
+    out = out.join(season, (c("symbol") == c("_s")) & (F.month("price.date") == c("month")), "left").drop("_s", "month").withColumn("t", pit.utc(c("price.date"), "14:30:00", "America/New_York"))
+    series = fundamentals.inventory(weekly(spark, sf_dir)).withColumn("available_at", pit.utc(F.next_day("period", "WED"), "10:30:00", "America/New_York")).withColumn("inventory", F.struct("period", "value", "dev", "dev_pct", "band_pos"))
+    return pit.as_of_join(out, series, "t", "available_at", ["period", "inventory"], tie="period", order_by="period").drop("t", "period")
