@@ -27,6 +27,7 @@ from .quality import fold
 
 DIMENSIONS = 2048
 SAMPLE = 600
+LANGUAGES = 1000
 CENTROIDS = 4
 ROUNDS = 12
 MARGIN = 0.2
@@ -132,10 +133,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     total = seen.get(-1, 0)
     idf = np.log((1 + total) / (1 + np.array([seen.get(d, 0) for d in range(DIMENSIONS)]))).astype(np.float32) + np.float32(0.05)
     lettered = learn.filter(F.col("text").rlike(r"\p{L}"))
-    sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} values of {lang_col}: it names no languages")
+    sizes = docs.sparkSession.createDataFrame(sizes, "lang string, n long")
     share = F.expr("pmod(xxhash64(id), 1000003)") < F.lit(1000003.0 * 2 * SAMPLE) / F.col("n")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    sample = lettered.join(F.broadcast(sizes), "lang").filter(share)  # sizes: a row for each language
+    sample = lettered.join(F.broadcast(sizes), "lang").filter(share)  # at most LANGUAGES rows
     sample = sample.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= SAMPLE).select("lang", "text")
     rows = sorted(sample.groupBy("lang").applyInPandas(_centroids(idf), "lang string, reach array<double>, centroid binary").collect())
     if not rows:
