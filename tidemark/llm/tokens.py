@@ -19,13 +19,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-CACHED_WORDS = 250_000
+CACHED_WORDS = 600_000
 #: ASCII punctuation that cannot begin a contraction or a special token.
 PUNCTUATION = '!"#$%&()*+,-./:;=>?@[\\]^_`{|}~'
 #: The printable stand-ins of byte-level vocabularies: bytes that print stand for themselves, the others follow from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 STAND_INS = {b: b if b in _PRINTED else 256 + k for k, b in enumerate([b for b in range(256) if b not in _PRINTED])} | {b: b for b in _PRINTED}
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 SPACE = b" \t\n\r\x0b\x0c"
 
 
@@ -54,26 +54,26 @@ class WordEncoder:
 
     def words(self, words: list[str]) -> list[bytes]:
         """The ids of each word as little-endian 32-bit integers."""
-        known = self.known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHED_WORDS:
-            known, new = {}, words
-            self.known = known
+        out = list(map(self.known.get, words))
+        new = [k for k, ids in enumerate(out) if ids is None]
+        if len(self.known) + len(new) > CACHED_WORDS:
+            self.known = {}
         if len(self.stems) > CACHED_WORDS:
             self.stems = {}
-        others = []
-        for w in new:
-            low = w.lower()
+        known, tails, others = self.known, self.tails, []
+        for k in new:
+            low = words[k].lower()
             stem = low.rstrip(PUNCTUATION)
-            tail = self.tails.get(low[len(stem) :])
+            tail = tails.get(low[len(stem) :])
             if stem.isalpha() and tail is not None and (stem.isascii() or max(stem) < "\u0250"):
-                known[w] = self.stem(stem) + tail
+                out[k] = known[words[k]] = self.stem(stem) + tail
             else:
-                others.append(w)
-                if stem.isalpha() and len(self.tails) < 1000:  # from the next time on
-                    self.tails[low[len(stem) :]] = self.encoded([low[len(stem) :]])[0]
-        known.update(zip(others, self.encoded(others), strict=True))
-        return [known[w] for w in words]
+                others.append(k)
+                if stem.isalpha() and len(tails) < 1000:  # from the next time on
+                    tails[low[len(stem) :]] = self.encoded([low[len(stem) :]])[0]
+        for k, ids in zip(others, self.encoded([words[k] for k in others]), strict=True):
+            out[k] = known[words[k]] = ids
+        return out
 
     def encoded(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for at in range(0, len(words), 20_000) for e in self.tokenizer.encode_batch_fast(words[at : at + 20_000], add_special_tokens=False)]
