@@ -76,7 +76,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = indicators.recursive(rows, {"rsi14": lambda g: indicators.rsi(g["close"].to_numpy(float))})
     rows = rows.withColumn("decision", pit.utc(c("date"), "14:30:00", "America/New_York"))
     series = weekly(spark, sf_dir).withColumn("available_at", pit.utc(F.next_day("period", "WED"), "10:30:00", "America/New_York"))
-    latest = rows.withColumn("back", F.max("date").over(trailing(None).rowsBetween(-(2**31), 2**31 - 1))).filter("date = back").drop("back")
+    latest = rows.withColumn("back", F.max("date").over(Window.partitionBy("symbol"))).filter("date = back").drop("back")
     return pit.as_of_join(latest, series, "decision", "available_at", ["period", "value"], tie="period")
 
 
