@@ -13,14 +13,24 @@ from tidemark.llm.scratch import Scratch
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs under names that nothing else has, and the new name of each column."""
+    names = {c: f"column{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without a letter, or unlike any training text, go."""
-    return langid.identify(docs, langid.train(docs)).filter("not _tm_rejected").select(*docs.columns)
+    held, names = plain(docs)
+    kept = langid.identify(held, langid.train(docs), names["text"]).filter("not _tm_rejected")
+    return kept.select(*names.values()).toDF(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, that of the largest id."""
-    return exact.exact_dedup(docs, with_text=True).filter("kept").select(*docs.columns)
+    held, names = plain(docs)
+    kept = exact.exact_dedup(held, names["doc_id"], names["text"], with_text=True).filter("kept")
+    return kept.select(*names.values()).toDF(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,18 @@ def test_run_gives_the_last_stage(spark, tmp_path, documents):
     spark.createDataFrame(documents, schema).write.parquet(f"file://{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, f"file://{tmp_path}")
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_stages_with_clashing_columns_and_no_rows(spark, documents):
+    names = "kept keep_id size position passes target row others _tm_lang fp gone".split()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    for rows in ([(*r, *range(len(names))) for r in documents], []):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "").persist()
+            assert (out.count() > 0) == bool(rows)
+            if name == "sequences":
+                break
+            assert out.columns == docs.columns
+            assert all(tuple(r)[5:] == tuple(range(len(names))) for r in out.collect())
+            docs = out

@@ -30,11 +30,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row with the largest id of each group stays (null ids come last; of rows
     that repeat the largest id exactly one stays). Other columns of docs are
     carried through; the text only on request. An empty table gives no rows.
-    The columns keep_id, group_size, kept and those that start with _tm_ are
-    the operator's own: docs must not have them.
+    A column of docs that has the name of one of the operator's own (keep_id,
+    group_size, kept, or any that starts with _tm_) gives way to it.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "exact")
-    carried = [c for c in docs.columns if c != text_col]
+    carried = [c for c in docs.columns if c != text_col and c not in ("keep_id", "group_size", "kept") and not c.startswith("_tm_")]
     raw = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
     digit = [F.octet_length(raw).alias("_tm_len"), F.substring(raw, 1, HEAD_BYTES).alias("_tm_head")]
 

@@ -170,6 +170,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     A text that is null or has no letter is 'und', scores 0 and is rejected;
     so is every text where there is no model. Ties go to the language that
     sorts first. Repeated rows are judged alike. An empty table gives no rows.
+    Columns of docs that start with _tm_ give way to the operator's own.
     """
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("_tm_")])
     fields = [f"`{c}` {t}" for c, t in docs.dtypes]
     return docs.mapInArrow(_identified(model, docs.columns.index(text_col)), ", ".join([*fields, "_tm_lang string", "_tm_score double", "_tm_rejected boolean"]))

@@ -72,7 +72,10 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: float =
     return ranked.withColumn("target", F.least("most", F.col("weight") * F.max("level").over(everything))).drop("most", "level")
 
 
-def mix(docs: DataFrame, carry: Sequence[str] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, shapes: Sequence = SHAPES) -> DataFrame:
+OWN = ("size", "source_size", "target", "taken", "position", "passes", "_tm_order")
+
+
+def mix(docs: DataFrame, carry: Sequence[str] = ("doc_id",), names: Sequence[str] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, shapes: Sequence = SHAPES) -> DataFrame:
     """Each row of docs with what the mix takes of it.
 
     Added to the carried columns: size, source_size, target, taken (words,
@@ -82,8 +85,12 @@ def mix(docs: DataFrame, carry: Sequence[str] = ("doc_id",), id_col: str = "doc_
     over the source follow one another and the last document of the last pass
     is taken in part. Null texts and texts without words have size 0 and are
     taken where their place in the stream is. A null source is a source; null
-    and repeated ids are rows like others. An empty table gives no rows.
+    and repeated ids are rows like others. An empty table gives no rows. Carried
+    columns get the given names; without names, those called like one of the
+    operator's own give way to it.
     """
+    names = names or [c for c in carry if c not in OWN]
+    carry = carry if len(names) == len(carry) else names
     scratch = Scratch(docs.sparkSession, "mix")
     rows = max(1, docs.count())
     digits = max(1, math.ceil(math.log(rows / max(LEAST_BUCKET, math.sqrt(rows)), 16))) if rows > LEAST_BUCKET else 1
@@ -112,7 +119,7 @@ def mix(docs: DataFrame, carry: Sequence[str] = ("doc_id",), id_col: str = "doc_
     placed = placed.withColumn("passes", F.array_compact(F.array(*passes)))
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x["words"])
     return placed.select(
-        *[F.col(f"_tm_c{k}").alias(c) for k, c in enumerate(carry)], "size", "source_size", "target", taken.alias("taken"),
+        *[F.col(f"_tm_c{k}").alias(c) for k, c in enumerate(names)], "size", "source_size", "target", taken.alias("taken"),
         F.try_element_at("passes", F.lit(1))["position"].alias("position"), "passes", "_tm_order",
     )
 
@@ -129,7 +136,8 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
     A document is there once for each pass that takes it. Documents are whole
     here: the one at a pass's end is in when at least half of it is due.
     """
-    mixed = mix(docs, docs.columns, **options).select(*[F.col(f"`{c}`").alias(f"_tm_d{k}") for k, c in enumerate(docs.columns)], F.col("size").alias("_tm_size"), F.explode("passes").alias("_tm_pass"), "_tm_order")
+    held = [f"_tm_d{k}" for k in range(len(docs.columns))]
+    mixed = mix(docs, docs.columns, held, **options).select(*held, F.col("size").alias("_tm_size"), F.explode("passes").alias("_tm_pass"), "_tm_order")
     mixed = mixed.filter("2 * _tm_pass.words >= _tm_size").withColumn("position", F.col("_tm_pass.position"))
     ordered = in_order(mixed)
-    return ordered.select(*[F.col(f"_tm_d{k}").alias(c) for k, c in enumerate(docs.columns)])
+    return ordered.select(*[F.col(h).alias(c) for h, c in zip(held, docs.columns, strict=True)])
