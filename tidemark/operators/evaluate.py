@@ -9,8 +9,10 @@ matrices on the driver.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -139,11 +141,25 @@ def best_only(mean_loss: DataFrame, keys: list[str]) -> DataFrame:
     return mean_loss.withColumn("weight", (F.row_number().over(order) == 1).cast("double"))
 
 
+def _spaced(by: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = None, None  # the open group and what it kept last, carried over batches
+        for batch in batches:
+            kept = []
+            for k, row in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                keys, pos = row[:-1], row[-1]
+                if keys != group or pos > last and pos - last >= by:
+                    group, last = keys, pos
+                    kept.append(k)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return run
+
+
 def spaced(rows: DataFrame, keys: list[str], by: int) -> DataFrame:
-    """(keys, pos): the greedy subset of positions at least by apart, folded over each ordered group."""
-    grouped = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("pos")).alias("all"))
-    kept = F.aggregate("all", F.array().cast("array<bigint>"), lambda a, p: F.when((F.size(a) == 0) | (p - F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) >= by), F.concat(a, F.array(p.cast("bigint")))).otherwise(a))
-    return grouped.select(*keys, F.explode(kept).alias("pos"))
+    """(keys, pos): the greedy subset of positions at least by apart; each ordered group streams through one task, which holds its last position only."""
+    ordered = rows.filter("pos is not null").select(*keys, F.col("pos").cast("bigint").alias("pos")).repartition(*keys).sortWithinPartitions(*keys, "pos")
+    return ordered.mapInArrow(_spaced(by), ordered.schema)
 
 
 def leaderboard(scored: DataFrame, horizon: int, block: int, alpha: float = 0.05) -> DataFrame:

@@ -82,6 +82,9 @@ register("holm_adjust", f"WITH m AS (SELECT grp || model AS model, loss / 5000 A
 register("non_overlapping_origins", "SELECT o_orderkey AS pos FROM orders WHERE o_orderkey < 2000 AND o_orderkey % 20 = 0")(
     lambda spark, sf_dir: evaluate.spaced(table(spark, sf_dir, "orders").filter("o_orderkey < 2000 AND o_orderkey % 5 = 0").select(F.lit("m").alias("model"), c("o_orderkey").alias("pos")), ["model"], 20).select("pos")
 )
+# microseconds of every event of every user, an hour apart: gaps are irregular and many are wider than the spacing
+SPACED = "WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS pos FROM events), k AS (SELECT user_id, min(pos) AS pos FROM e GROUP BY 1 UNION ALL SELECT k.user_id, min(e.pos) FROM k JOIN e ON e.user_id = k.user_id AND e.pos >= k.pos + 3600000000 GROUP BY k.user_id) SELECT user_id, pos FROM k"
+register("non_overlapping_events", SPACED)(lambda spark, sf_dir: evaluate.spaced(table(spark, sf_dir, "events").select("user_id", F.unix_micros(c("ts").cast("timestamp")).alias("pos")), ["user_id"], 3_600_000_000))
 VIEWS = "SELECT c_mktsegment AS symbol, 'agent' || CAST(c_nationkey % 4 AS VARCHAR) AS agent, avg(sign(c_acctbal)) AS stance, avg(abs(c_acctbal)) / 10000 AS confidence FROM customer WHERE c_nationkey % 4 < 3 GROUP BY 1, 2"
 
 
