@@ -8,8 +8,14 @@ occurrence covers are removed. First means least id, then least position, so
 the first copy of a passage stays where it is.
 
 A sentence ends at a line break or at . ! ? before white space; one of more
-than LONG words (a table, a text without stops) is cut behind words chosen by
-their own hash, so that equal passages are cut alike wherever they stand.
+than LONG words (a table, a text without stops) is cut behind the word of least
+hash in each window of WINDOW words, so that equal passages are cut alike
+wherever they stand and no two cuts are more than WINDOW words apart. Of a
+passage of 51 words, at most 16 at either end lie outside units that all its
+copies share, so 19 words or more in two units or more are left, which hold a run.
+Words are runs without white space. One of more than WIDE characters, and one in
+a script without spaces, counts for cuts as many: each character of such a
+script, and otherwise pieces cut in the same way behind characters.
 Sentences are compared by their words, without regard to case or spacing.
 """
 
@@ -29,27 +35,69 @@ from .scratch import Scratch
 
 SENTENCES = 2
 LEAST_WORDS = 12
-LONG = 24
-CUT = 8  # a long sentence is cut behind about one word in so many
+LONG = 16
+WINDOW = 8  # a long sentence is cut at least once in so many words
+WIDE = 80
+GRAM, PIECE = 4, 16  # a wide word's cuts: characters hashed at once, and positions in a window
 ROWS = 50_000
 _SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?![.!?\s])[^\n.!?]*)*(?:[.!?]+|\n|\Z)[ \t\n\r\x0b\x0c]*")
 _WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+_NO_SPACES = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3001-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff60\U00020000-\U0003ffff"  # Thai to Khmer, kana, Han
+_SOLID = re.compile(f"[{_NO_SPACES}]")
+_PART = re.compile(f"[{_NO_SPACES}]|[^{_NO_SPACES}]+")
+
+
+def cuts(hashes: list[int], window: int) -> list[int]:
+    """The places of the least hash in any window, the last of equal ones, in order."""
+    ranked = [(h << 32) - k for k, h in enumerate(hashes)]
+    out, at = [], -1
+    for first in range(len(ranked) - window + 1):
+        last = first + window - 1
+        if at < first:
+            at = ranked.index(min(ranked[first : last + 1]), first)
+        elif ranked[last] < ranked[at]:
+            at = last
+        else:
+            continue
+        out.append(at)
+    return out
+
+
+def pieces(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """(start, end) of what counts as a word between two places of a text: words, and parts of words without end."""
+    out = []
+    for m in _WORD.finditer(text, start, end):
+        if len(m[0]) <= WIDE and (m[0].isascii() or not _SOLID.search(m[0])):
+            out.append(m.span())
+            continue
+        for part in _PART.finditer(text, *m.span()):
+            a, b = part.span()
+            if b - a > WIDE:
+                hashes = [zlib.crc32(text[k : k + GRAM].lower().encode()) for k in range(a, b - GRAM + 1)]
+                edges = [a, *(a + GRAM + k for k in cuts(hashes, PIECE) if a + GRAM + k < b), b]
+                out += zip(edges, edges[1:], strict=False)
+            else:
+                out.append((a, b))
+    return out
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of each sentence; they cover the text, each with the white space behind it."""
+    """(start, end, words) of each unit; they cover the text, each with the white space behind it."""
     out = []
     for m in _SENTENCE.finditer(text):
         start, end = m.span()
         words = m[0].lower().split()
-        if len(words) > LONG:
-            found, first = list(_WORD.finditer(text, start, end)), 0
-            for k, w in enumerate(found[:-1]):
-                if zlib.crc32(w[0].lower().encode()) % CUT == 0:
-                    out.append((start, found[k + 1].start(), [x[0].lower() for x in found[first : k + 1]]))
-                    start, first = found[k + 1].start(), k + 1
-            out.append((start, end, [x[0].lower() for x in found[first:]]))
-        elif words:
+        if len(words) > LONG or (end - start > WIDE and max(map(len, words), default=0) > WIDE) or (not m[0].isascii() and _SOLID.search(m[0])):
+            found = pieces(text, start, end)
+            words = [text[a:b].lower() for a, b in found]
+            if len(words) > LONG:
+                first = 0
+                for k in cuts([zlib.crc32(w.encode()) for w in words], WINDOW):
+                    if k < len(words) - 1:
+                        out.append((start, found[k + 1][0], words[first : k + 1]))
+                        start, first = found[k + 1][0], k + 1
+                words = words[first:]
+        if words:
             out.append((start, end, words))
         elif end > start and out:
             out[-1] = (out[-1][0], end, out[-1][2])
@@ -60,9 +108,10 @@ def spans(units: list[tuple[int, int, list[str]]]) -> list[tuple[int, int, bytes
     """(first, length, hash) of the run of sentences from each sentence on that has one."""
     sizes = np.cumsum([0, *(len(w) for _, _, w in units)])
     joined = [" ".join(w).encode() for _, _, w in units]
+    stops = np.searchsorted(sizes, sizes + LEAST_WORDS).tolist()
     out = []
     for k in range(len(units) - SENTENCES + 1):
-        stop = max(k + SENTENCES, int(np.searchsorted(sizes, sizes[k] + LEAST_WORDS)))
+        stop = max(k + SENTENCES, stops[k])
         if stop <= len(units):
             out.append((k, stop - k, xxhash.xxh3_128_digest(b"\n".join(joined[k:stop]))))
     return out
