@@ -5,9 +5,11 @@ field over word shapes adds spans of the kinds in KINDS: secrets, national
 ids and bank accounts, with the words around them as context. It is trained
 here on a small labelled table (examples()), by gradient ascent on the
 regularised log-likelihood with forward and backward sums, and decoded by
-Viterbi over batches of padded sequences in numpy. A sequence is a run of at
-most SEQUENCE words of a text. A span is kept only where its words hold a
-digit, and never replaces a base span that it touches.
+Viterbi over batches of padded sequences in numpy. A sequence is the words with
+a digit that lie close together, however many, and AROUND words on either side,
+so no span ends at a sequence's edge and all its cues are in it. A span is kept
+only where its words hold a digit (keys and passwords of letters alone are not
+found), and never replaces a base span that it touches.
 
 Words are runs without ASCII white space. What a word offers the model are
 its shape (classes of characters, runs shortened), its length class, and the
@@ -35,8 +37,8 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 BASE = ("email", "ip", "card", "phone")
 KINDS = ("secret", "national_id", "account")
-SEQUENCE = 128
-BATCH = 512
+AROUND = 12  # words beside those with a digit that are decoded with them
+CELLS = 65_536  # words of a batch, padding included; a longer sequence is a batch of its own
 CUES = ("token", "key", "secret", "password", "apikey", "api_key", "passwd", "=", ":", "ssn", "id", "passport", "social", "security", "number", "no", "iban", "account", "acct", "bank")
 STATES = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 LINKED = np.array([[not b.startswith("I-") or (a != "O" and a[2:] == b[2:]) for b in STATES] for a in STATES])
@@ -230,8 +232,24 @@ _WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 _DIGIT = re.compile(r"[0-9]")
 
 
+def sequences(text: str) -> Iterator[list[re.Match]]:
+    """The words to decode together: those within AROUND words of one with a digit, in runs."""
+    if not _DIGIT.search(text):
+        return
+    words = list(_WORD.finditer(text))
+    first, stop = 0, -1
+    for k, m in enumerate(words):
+        if _DIGIT.search(m[0]):
+            if k - AROUND > stop:
+                if stop >= 0:
+                    yield words[first:stop]
+                first = max(0, k - AROUND)
+            stop = k + AROUND + 1
+    yield words[first:stop]
+
+
 def added_spans(texts: list[str], model: Model) -> list[list[tuple[str, int, int]]]:
-    """CRF spans of each text, by start. Sequences without a digit hold no span and are not decoded."""
+    """CRF spans of each text, by start. Words far from any digit hold no span and are not decoded."""
     out, waiting = [[] for _ in texts], []
     step = np.where(LINKED, model.step, FLOOR)
 
@@ -271,19 +289,13 @@ def added_spans(texts: list[str], model: Model) -> list[list[tuple[str, int, int
         waiting.clear()
 
     known = lru_cache(maxsize=200_000)(model.ids)
-    for k, text in enumerate(texts):
-        if not _DIGIT.search(text):
-            continue
-        words = list(_WORD.finditer(text))
-        for at in range(0, len(words), SEQUENCE):
-            part = words[at : at + SEQUENCE]
-            if _DIGIT.search(text, part[0].start(), part[-1].end()):
-                waiting.append((k, part))
-                if len(waiting) == BATCH:
-                    decode()
+    for k, words in sorted(((k, w) for k, text in enumerate(texts) for w in sequences(text)), key=lambda x: len(x[1])):
+        if waiting and (len(waiting) + 1) * len(words) > CELLS:
+            decode()
+        waiting.append((k, words))
     if waiting:
         decode()
-    return out
+    return [sorted(spans, key=lambda s: s[1]) for spans in out]
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
