@@ -412,8 +412,13 @@ def block_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("walk_forward_leaderboard")
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = one_series(spark, sf_dir)
-    return forecast.walk_forward(rows, rows.count(), 5)
+    """A leaderboard a symbol, one evaluation each: symbols are a short list."""
+    rows, out = day_returns(spark, sf_dir), None
+    for symbol, n in sorted((tuple(r) for r in rows.groupBy("symbol").count().collect()), key=str) or [(None, 0)]:
+        own = rows.filter(c("symbol").eqNullSafe(F.lit(symbol))).select((c("pos") - 1).alias("pos"), (c("ret") / 50).alias("ret"))
+        board = forecast.walk_forward(own, n, 5).select(F.lit(symbol).cast("string").alias("symbol"), "*")
+        out = board if out is None else out.unionByName(board)
+    return out
 
 
 @register("threshold_signal", f"WITH {SERIES}, {FOLDS}, {EMPIRICAL} SELECT pos, CASE WHEN p_up >= 0.55 THEN 1.0::DOUBLE WHEN p_up <= 0.45 THEN 0.0::DOUBLE ELSE 0.0::DOUBLE END AS target FROM preds WHERE model = 'drift'")
