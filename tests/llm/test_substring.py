@@ -94,7 +94,7 @@ def test_short_sentences_at_either_end(spark):
         passage = " ".join(" ".join(f"w{k}x{j}" for j in range(n)) + "." for k, n in enumerate(sizes))
         rows = [(1, f"Own words one. {passage} Other ends here."), (2, f"Quite different start. {passage} And a tail.")]
         got = cleaned(spark, rows)
-        assert got == brute(rows) and got[1] == (2, "Quite different start. And a tail.", len(sizes), sum(sizes))
+        assert got == brute(rows) and got[1][1] == "Quite different start. And a tail." and got[1][3] == sum(sizes)
 
 
 def test_repeated_null_and_mixed_ids(spark):

@@ -173,6 +173,13 @@ def runs(found: Units) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[unit[ahead], back[behind]], np.r_[stop[ahead], unit[behind] + 1]
 
 
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in parts(batch.column(0)):
+            found = units(part)
+            yield pa.RecordBatch.from_arrays([pa.array(found.hashes(*runs(found))[0])], ["h1"])
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["id", "row", "first", "length", "h1", "h2"]
     for batch in batches:
@@ -233,10 +240,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "substring")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(f"`{text_col}`").alias("text"))
     rows = scratch.save(rows, "rows")
-    found = scratch.save(rows.filter("text is not null").mapInArrow(_runs, "id long, row long, first int, length int, h1 long, h2 long"), "runs")
-    twice = scratch.save(found.groupBy("h1").count().filter("count > 1").select("h1"), "twice")  # half a hash is little to move, and leaves few runs
+    texts = rows.filter("text is not null")
+    halves = texts.select("text").mapInArrow(_halves, "h1 long")  # half a hash is little to move, and leaves few runs; to hash anew is cheaper than to keep all
+    twice = scratch.save(halves.groupBy("h1").count().filter("count > 1").select("h1"), "twice")
+    found = texts.mapInArrow(_runs, "id long, row long, first int, length int, h1 long, h2 long")
     again = scratch.save(found.join(twice.hint("merge"), "h1"), "again")
-    scratch.drop("runs", "twice")
+    scratch.drop("twice")
     place = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "row", "first")
     counted = again.groupBy("h1", "h2").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("n"))
     repeated = scratch.save(counted.filter("n > 1").select("h1", "h2", "kept.row", "kept.first").toDF("h1", "h2", "kept_row", "kept_first"), "repeated")
