@@ -6,8 +6,10 @@ non-negative unbiased risk
     prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)])
 
 with the sigmoid loss; where the second part of a step turns negative, its
-gradient is reversed instead. The prior is the share of label 1 among the
-labels that may be learned from; negatives are used for nothing else. The
+gradient is reversed instead. The prior is estimated from positives and
+unlabelled texts alone: a network fitted to one half of each scores the other,
+and of all thresholds the share of unlabelled scores above one, over that of
+positive scores, is least where only positives are; labels 0 are not read. The
 features are shares of byte-class pairs and measures of repetition over the
 whole text. Fitting reads at most POSITIVES + UNLABELLED documents, the first
 in the order of a fixed hash.
@@ -80,6 +82,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.hidden(self.inputs(x)) @ self.w[2] + self.w[3], -30, 30)))
 
 
+def lower_envelope(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The class prior: the least of P(score >= t | unlabelled) / P(score >= t | positive), each with its margin of error.
+
+    The margin (of a bound on both shares that holds but for one case in ten)
+    picks the threshold; the prior is the plain ratio there.
+    """
+    p, u = np.sort(positive), np.sort(unlabelled)
+    at = np.unique(p)
+    above_p, above_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
+    margin = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(u)) + 1 / np.sqrt(len(p)))
+    best = ((above_u + margin) / above_p).argmin()
+    return float(min(1.0, above_u[best] / above_p[best]))
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled rows; 1 where either has too few rows to be halved."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 1.0
+    model = fit(positive[::2], unlabelled[::2], 0.5)
+    return lower_envelope(model.score(positive[1::2]), model.score(unlabelled[1::2]))
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     """Minimise the non-negative risk by Adam over shuffled batches."""
     rng = np.random.default_rng(SEED)
@@ -112,9 +136,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = [features(part) for part in parts(batch.column(1))]
+        x = [features(part) for part in parts(batch.column(2))]
         if x:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in np.concatenate(x)], pa.binary())], ["kind", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array([row.tobytes() for row in np.concatenate(x)], pa.binary())], ["id", "kind", "x"])
 
 
 def _scored(model: Model | None):
@@ -134,14 +158,17 @@ def fold(id_col: str, folds: int) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> Model | None:
     """A model from the rows outside fold 0; none where they hold no positive or no document."""
     ids, hashed = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{id_col}`"))
-    learn = labels.filter(fold(id_col, folds) != 0).filter("quality is not null").groupBy(ids.alias("id")).agg(F.min("quality").alias("quality"))
-    share = learn.agg(F.avg("quality")).first()[0]
+    learn = labels.filter(fold(id_col, folds) != 0).groupBy(ids.alias("id")).agg(F.min("quality").alias("quality"))
     trusted = learn.filter("quality = 1").orderBy(F.xxhash64("id"), "id").limit(POSITIVES).select("id", F.lit(1).alias("kind"))
-    web = docs.filter(fold(id_col, folds) != 0).select(ids.alias("id"), hashed.alias("h")).orderBy("h", "id").limit(UNLABELLED).select("id", F.lit(0).alias("kind"))
+    web = docs.filter(fold(id_col, folds) != 0).select(ids.alias("id"), hashed.alias("h")).distinct().orderBy("h", "id").limit(UNLABELLED).select("id", F.lit(0).alias("kind"))
     chosen = F.broadcast(trusted.union(web))  # at most POSITIVES + UNLABELLED rows
-    rows = docs.select(ids.alias("id"), F.col(f"`{text_col}`").alias("text")).join(chosen, "id").select("kind", "text").mapInArrow(_featured, "kind int, x binary").collect()
+    found = docs.select(ids.alias("id"), F.col(f"`{text_col}`").alias("text")).join(chosen, "id").select("id", "kind", "text").mapInArrow(_featured, "id string, kind int, x binary")
+    rows = found.groupBy("id", "kind").agg(F.min("x").alias("x")).orderBy(F.xxhash64("id"), "id").collect()  # one row for each chosen id, however often it stands
     x = {k: [np.frombuffer(r.x, np.float32) for r in rows if r.kind == k] for k in (0, 1)}
-    return fit(np.stack(x[1]), np.stack(x[0]), min(max(share, 0.05), 0.95)) if x[0] and x[1] else None
+    if not x[0] or not x[1]:
+        return None
+    positive, unlabelled = np.stack(x[1]), np.stack(x[0])
+    return fit(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
