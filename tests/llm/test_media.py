@@ -49,6 +49,19 @@ def test_area_resize_is_the_mean_of_areas():
             assert np.allclose(media.area_resize(pixels, *size), brute_area(pixels, *size))
 
 
+def test_tall_images_are_resized_band_by_band(monkeypatch):
+    shapes = [RNG.integers(0, 256, s) for s in ((1, 64), (5, 64), (4097, 64), (37, 11, 3))]
+    whole = [media.area_resize(x, *size) for x in shapes for size in ((8, 9), (32, 32))]
+    monkeypatch.setattr(media, "WHOLE", 0)
+    assert all(np.allclose(a, b) for a, b in zip(whole, [media.area_resize(x, *size) for x in shapes for size in ((8, 9), (32, 32))], strict=True))
+
+
+def test_tiles_are_stored_and_read_back(spark):
+    rows = media.text_media(spark.createDataFrame([(1, "abc" * 100), (2, None)], "doc_id long, text string")).collect()
+    for r in rows:
+        assert r.tile_crc32 == zlib.crc32(bytes(r.tile)) and r.tile_mean == media.load_tile(bytes(r.tile)).mean()
+
+
 def test_queries_columns(spark):
     texts = ["", None, "a" * 64, "b" * 65, "ü" * 1000, "x", "x", "long " * 50_000]
     rows = {r.doc_id: r for r in media.text_media(spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, media int")).collect()}

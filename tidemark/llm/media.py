@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from .scratch import Scratch
 
 WIDTH = 64
 TILE = 32
+WHOLE = 1 << 22  # samples of an image that is integrated at once
+BATCH_BYTES = 16 << 20  # images that are decoded before their rows are handed on
 _FIELD = re.compile(rb"(?:\s|#[^\n]*\n)*(\d+)")
 
 
@@ -107,16 +110,26 @@ def _edges(n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over equal areas, from the integral image between whole pixels, as float64."""
-    total = np.zeros((pixels.shape[0] + 1, pixels.shape[1] + 1, *pixels.shape[2:]))
-    total[1:, 1:] = pixels.cumsum(axis=0, dtype=np.float64).cumsum(axis=1)
-    rows, part = _edges(pixels.shape[0], height)
-    part = part.reshape(-1, *[1] * (total.ndim - 1))
-    lines = total[rows] * (1 - part) + total[rows + 1] * part
-    cols, part = _edges(pixels.shape[1], width)
-    part = part.reshape(1, -1, *[1] * (total.ndim - 2))
-    corners = lines[:, cols] * (1 - part) + lines[:, cols + 1] * part
-    return np.diff(np.diff(corners, axis=0), axis=1) / (pixels.shape[0] / height * pixels.shape[1] / width)
+    """Means over equal areas, from the integral image between whole pixels, as float64.
+
+    An image of more than WHOLE samples has an integral image for each band of
+    source rows that makes a row of the result, so it needs no more memory.
+    """
+    rows, down = _edges(pixels.shape[0], height)
+    cols, across = _edges(pixels.shape[1], width)
+    across = across.reshape(1, -1, *[1] * (pixels.ndim - 2))
+    if pixels.size <= WHOLE:
+        total = np.zeros((pixels.shape[0] + 1, *pixels.shape[1:]))
+        total[1:] = pixels.cumsum(axis=0, dtype=np.float64)
+        down = down.reshape(-1, *[1] * (pixels.ndim - 1))
+        bands = np.diff(total[rows] * (1 - down) + total[rows + 1] * down, axis=0)
+    else:
+        bands = np.empty((height, *pixels.shape[1:]))
+        for k, (first, last) in enumerate(zip(rows, rows[1:], strict=False)):
+            bands[k] = pixels[first:last].sum(axis=0, dtype=np.int64) + down[k + 1] * pixels[last] - down[k] * pixels[first]
+    total = np.zeros((height, pixels.shape[1] + 1, *pixels.shape[2:]))
+    total[:, 1:] = bands.cumsum(axis=1)
+    return np.diff(total[:, cols] * (1 - across) + total[:, cols + 1] * across, axis=1) / (pixels.shape[0] / height * pixels.shape[1] / width)
 
 
 def grey(pixels: np.ndarray) -> np.ndarray:
@@ -144,20 +157,32 @@ def text_image(text: bytes) -> bytes:
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for at, stop in _spans(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)):
+            part = batch.slice(at, stop - at)
             texts = part.column(1).fill_null(b"").to_pylist()
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([text_image(t) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spans(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most 256 rows and about BATCH_BYTES bytes; a larger one is a range of its own."""
+    at = 0
+    while at < len(sizes):
+        stop, held = at + 1, int(sizes[at])
+        while stop < len(sizes) and stop - at < 256 and held + sizes[stop] <= BATCH_BYTES:
+            held, stop = held + int(sizes[stop]), stop + 1
+        yield at, stop
+        at = stop
+
+
+def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"]
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part, rows = batch.slice(at, 256), []
-            for media in part.column(2).to_pylist():
+        for at, stop in _spans(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)):
+            part, rows = batch.slice(at, stop - at), []
+            for media in part.column(2):
+                media = media.as_py()
                 pixels = decode(media)
-                payload = pixels.tobytes()
+                payload = pixels.reshape(-1)
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{difference_hash(pixels):016x}", tile(pixels)))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
@@ -171,14 +196,28 @@ def store(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
 
 def describe(media: DataFrame) -> DataFrame:
     """Digests, difference hash and NPY tile of each stored image, from its bytes alone."""
-    return media.mapInArrow(_featured, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary")
+    return media.mapInArrow(_tiled, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary")
+
+
+def load_tile(tile: bytes) -> np.ndarray:
+    return np.load(io.BytesIO(tile), allow_pickle=False)
+
+
+def _read_tiles(tiles: pa.Array) -> pa.Array:
+    return pa.array([float(load_tile(t.as_py()).mean()) for t in tiles], pa.float64())
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Store every text as an image, read the images back and describe them.
+    """Store every text as an image, read the images back, describe them and store their tiles.
 
+    The tiles (NPY bytes) are written as well and read back: tile_crc32 is that
+    of the stored bytes and tile_mean the mean of the array that they load as.
     A null or empty text is one row of zeros. Rows are independent: repeated
     rows and ids give equal values, a null id stays null, an empty table gives
     no rows, and other columns are not read.
     """
-    return describe(store(docs, Scratch(docs.sparkSession, "media")))
+    scratch = Scratch(docs.sparkSession, "media")
+    tiles = scratch.save(describe(store(docs, scratch)), "tiles")
+    scratch.drop("media")
+    mean = F.arrow_udf(_read_tiles, "double")
+    return tiles.withColumn("tile_crc32", F.crc32("tile")).withColumn("tile_mean", mean("tile"))

@@ -88,7 +88,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.text_media(documents(spark, sf_dir)).withColumn("tile_crc32", F.crc32("tile")).drop("tile")
+    return media.text_media(documents(spark, sf_dir)).drop("tile")
 
 
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
