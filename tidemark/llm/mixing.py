@@ -95,20 +95,22 @@ def mix(docs: DataFrame, carry: Sequence[str] = ("doc_id",), names: Sequence[str
     rows = max(1, docs.count())
     digits = max(1, math.ceil(math.log(rows / max(LEAST_BUCKET, math.sqrt(rows)), 16))) if rows > LEAST_BUCKET else 1
     source = F.col(f"`{source_col}`").cast("string")
-    order = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary"))
+    order = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("#"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).cast("binary"))  # null ids in the order of their texts
     keyed = docs.select(
         *[F.col(f"`{c}`").alias(f"_tm_c{k}") for k, c in enumerate(carry)],
         F.col(f"`{id_col}`").alias("_tm_id"), words(F.col(f"`{text_col}`")).alias("size"), order.alias("_tm_order"), F.substring(order, 1, digits).alias("_tm_bucket"),
-        source.alias("source"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("_tm_key"),
+        F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("_tm_key"),
     )
-    sums = scratch.save(keyed.groupBy("_tm_key", "_tm_bucket").agg(F.first("source").alias("source"), F.sum("size").alias("words")), "sums")
-    sources = targets(sums.groupBy("_tm_key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")), weights, share, cap)
+    sums = scratch.save(keyed.groupBy("_tm_key", "_tm_bucket").agg(F.sum("size").alias("words")), "sums")
+    named = F.when(F.col("_tm_key") != "", F.substring("_tm_key", 2, 1 << 30)).alias("source")
+    sources = targets(sums.groupBy("_tm_key").agg(F.sum("words").alias("source_size")).select("*", named), weights, share, cap)
     ahead = Window.partitionBy("_tm_key").orderBy("_tm_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("_tm_key", "_tm_bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("_tm_base"))
     base = scratch.save(base.join(sources.drop("source"), "_tm_key"), "base")
 
-    inner = Window.partitionBy("_tm_key", "_tm_bucket").orderBy("_tm_order", "_tm_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.drop("source").join(base.hint("merge"), ["_tm_key", "_tm_bucket"]).withColumn("_tm_at", F.col("_tm_base") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    tie = [F.xxhash64(f"_tm_c{k}") for k in range(len(carry))]  # rows of one id and size in the order of what they carry
+    inner = Window.partitionBy("_tm_key", "_tm_bucket").orderBy("_tm_order", "_tm_id", "size", *tie).rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.join(base.hint("merge"), ["_tm_key", "_tm_bucket"]).withColumn("_tm_at", F.col("_tm_base") + F.coalesce(F.sum("size").over(inner), F.lit(0)))
     goal = F.floor(F.col("target") + 0.5)
     passes = []
     for k in range(cap):
