@@ -161,7 +161,8 @@ def _written(path: str, end_id: int, folder: str):
 def write(docs: DataFrame, scratch: Scratch, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Write docs in ascending order of their id; the table of files (part, uri, n_docs, n_tokens), parts in order."""
     columns = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    ordered = columns.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    by = ["doc_id", F.xxhash64("text")]  # rows of one id are dealt out as well
+    ordered = columns.repartitionByRange(*by).sortWithinPartitions(*by)
     files = ordered.mapInArrow(_written(vocabulary or tokens.default_vocabulary(), end_id, scratch.path("files")), "part long, uri string, n_docs long, n_tokens long")
     return scratch.save(files, "manifest")
 

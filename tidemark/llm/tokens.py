@@ -1,8 +1,8 @@
 """Token ids of whole texts, one library call for each new word.
 
-The vocabularies used here drop white space and never join across it, so the
-ids of a text are those of its words (runs without ASCII white space) one
-after the other. Arrow finds the distinct words of a batch; only words that a
+Where a vocabulary drops white space and never joins across it, the ids of a
+text are those of its words (runs without ASCII white space) one after the
+other; a probe text tells when the vocabulary is loaded, and others encode whole texts. Arrow finds the distinct words of a batch; only words that a
 worker has not met lately are encoded.
 """
 
@@ -19,7 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-CACHED_WORDS = 600_000
+CACHED_WORDS = 120_000  # of each of two maps: about 25 MB each
+#: What the shortcuts must encode as the library does; a vocabulary for which they do not is used text by text.
+PROBE = "  The quick (brown) foxes, don't  JUMP\tover\nüber Größe, naïve 'til 12 345.67% a_b e-mail@x.org ---\r\n\u4f60\u597d \ufb01n x\u0301y  "
 #: ASCII punctuation that cannot begin a contraction or a special token.
 PUNCTUATION = '!"#$%&()*+,-./:;=>?@[\\]^_`{|}~'
 #: The printable stand-ins of byte-level vocabularies: bytes that print stand for themselves, the others follow from 256 on.
@@ -43,6 +45,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known, self.stems, self.tails = {}, {}, {"": b""}
         self.model = self.tokenizer.model
+        texts = pa.array([PROBE, *PROBE.split(" ")], pa.large_string())
+        ids, starts = self.by_words(texts)
+        whole = self.encoded(texts.to_pylist())
+        self.exact = [ids[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)] == whole
 
     def stem(self, word: str) -> bytes:
         """The ids of a lower-case word of Latin letters, which the library's normaliser leaves as it is and its splitter whole."""
@@ -80,6 +86,12 @@ class WordEncoder:
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each text starts (with the end of the last)."""
+        if self.exact:
+            return self.by_words(texts)
+        found = self.encoded(texts.to_pylist())
+        return np.frombuffer(b"".join(found), "<u4"), np.r_[0, np.cumsum([len(x) // 4 for x in found])].astype(np.int64)
+
+    def by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.ascii_split_whitespace(texts)
         flat = split.flatten().dictionary_encode()
         table = self.words(flat.dictionary.to_pylist())
@@ -120,7 +132,7 @@ def encode(column: pa.Array, path: str, end_id: int) -> Iterator[np.ndarray]:
         while stop < len(column) and size + sizes[stop] <= BATCH_BYTES:
             size += sizes[stop]
             stop += 1
-        if size > BATCH_BYTES:
+        if size > BATCH_BYTES and words.exact:
             parts = _pieces(column[at].as_py().encode())
             ids = [words.texts(pa.array([p.decode()], pa.large_string()))[0] for p in parts]
             yield np.concatenate([*ids, np.array([end_id], "<u4")])
