@@ -12,7 +12,7 @@ place, so no task holds an unbounded group and no link is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -52,7 +52,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         texts = batch.column(1).dictionary_encode()
         found = pa.array([fingerprint(t) for t in texts.dictionary.to_pylist()] or [0], pa.int64())
         prints = found.take(texts.indices).fill_null(0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), prints], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], prints], ["doc_id", *batch.schema.names[2:], "fp"])
 
 
 def close(a: np.ndarray, b: np.ndarray | np.int64, distance: int) -> np.ndarray:
@@ -103,9 +103,11 @@ def _links(distance: int):
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for each row of docs."""
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, carried columns, fp) for each row of docs."""
+    columns = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"), *carry)
+    kinds = dict(columns.dtypes)
+    return columns.mapInArrow(_fingerprints, ", ".join(["doc_id long", *(f"{c} {kinds[c]}" for c in carry), "fp long"]))
 
 
 def links(distinct: DataFrame, scratch: Scratch, distance: int = DISTANCE, blocks: int = BLOCKS, bucket: int = BUCKET) -> DataFrame:
@@ -122,19 +124,21 @@ def links(distinct: DataFrame, scratch: Scratch, distance: int = DISTANCE, block
     return dealt.repartition("k", "part", "i", "j").sortWithinPartitions("k", "part", "i", "j", "fp").mapInArrow(_links(distance), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the least doc_id that links reach.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, carried columns, fp, component, component_id): component_id is the least doc_id that links reach.
 
-    A null text counts as empty and has fingerprint zero, which links like any
-    other. Each row of docs gives one row, rows with repeated ids included; a
-    null id is no component's least. An empty table gives no rows.
+    component is a fingerprint that stands for the whole component, also where
+    no row of it has an id. A null text counts as empty and has fingerprint
+    zero, which links like any other. Each row of docs gives one row, rows with
+    repeated ids included; a null id is no component's least. An empty table
+    gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.save(fingerprints(docs, id_col, text_col), "prints")
+    prints = scratch.save(fingerprints(docs, id_col, text_col, carry), "prints")
     distinct = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct, scratch), scratch)
     rooted = scratch.save(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     least = scratch.save(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    named = scratch.save(rooted.join(least, "root").select("fp", "component_id"), "named")
+    named = scratch.save(rooted.join(least, "root").select("fp", F.col("root").alias("component"), "component_id"), "named")
     scratch.drop("distinct", "large", "rooted", "least")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", *carry, "fp", "component", "component_id")
