@@ -34,10 +34,13 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of close fingerprints, that of the least id; rows that share an id are one document."""
-    found = simhash.near_duplicates(docs)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_tm_stay")).distinct()
-    return docs.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_tm_stay")), "left_semi")
+    """One row of each component of close fingerprints: that of the least id (null last), of rows that share it the first."""
+    held, names = plain(docs)
+    rows = Scratch(spark, "near").save(held.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = simhash.near_duplicates(rows, names["doc_id"], names["text"], carry=("row",))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    stay = found.groupBy("component").agg(F.min(order)["row"].alias("stay"))
+    return rows.join(stay.hint("merge"), F.col("row") == F.col("stay"), "left_semi").select(*names.values()).toDF(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
