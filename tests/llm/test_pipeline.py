@@ -78,3 +78,11 @@ def test_stages_with_clashing_columns_and_no_rows(spark, documents):
             assert out.columns == docs.columns
             assert all(tuple(r)[5:] == tuple(range(len(names))) for r in out.collect())
             docs = out
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    t, u = (" ".join(f"{c}{k}" for k in range(60)) for c in "tu")
+    rows = [(1, t), (None, t), (None, u), (None, u), (5, "alone here"), (5, "another text of id five"), (5, "alone here"), (None, None), (9, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, "").collect()]
+    assert sorted(out, key=str) == sorted([(1, t), (None, u), (5, "alone here"), (5, "another text of id five"), (9, "")], key=str)
