@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact, langid, mixing, packing, simhash
@@ -34,13 +34,15 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of close fingerprints: that of the least id (null last), of rows that share it the first."""
+    """One row of each component of close fingerprints: that of the least id (null last); of rows that share it, one."""
     held, names = plain(docs)
-    rows = Scratch(spark, "near").save(held.withColumn("row", F.monotonically_increasing_id()), "rows")
-    found = simhash.near_duplicates(rows, names["doc_id"], names["text"], carry=("row",))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    stay = found.groupBy("component").agg(F.min(order)["row"].alias("stay"))
-    return rows.join(stay.hint("merge"), F.col("row") == F.col("stay"), "left_semi").select(*names.values()).toDF(*docs.columns)
+    held = held.withColumn("h", F.xxhash64(names["text"]))
+    found = simhash.near_duplicates(held, names["doc_id"], names["text"], carry=("h",))
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("stay"))
+    stay = Scratch(spark, "near").save(best.select(F.col("stay.doc_id").alias("stay_id"), F.col("stay.h").alias("stay_h")), "stay")
+    kept = held.join(stay.hint("merge"), F.col("h").eqNullSafe(F.col("stay_h")) & F.col(names["doc_id"]).eqNullSafe(F.col("stay_id")), "left_semi")
+    first = Window.partitionBy("h", names["doc_id"]).orderBy(*[n for c, n in names.items() if n not in (names["doc_id"], names["text"])] or ["h"])
+    return kept.withColumn("n", F.row_number().over(first)).filter("n = 1").select(*names.values()).toDF(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
