@@ -13,26 +13,21 @@ from tidemark.operators import backtest, calendars, evaluate, fundamentals, indi
 D = dt.date
 
 
-@pytest.fixture(scope="module")
-def table(spark):
-    return calendars.calendar_table(spark, first=2015, last=2027).cache()
-
-
 @pytest.mark.parametrize(("rule", "delivery", "expiry"), [
     ("cl", D(2024, 12, 1), D(2024, 11, 20)), ("cl", D(2025, 1, 1), D(2024, 12, 19)), ("cl", D(2020, 5, 1), D(2020, 4, 21)), ("cl", D(2026, 10, 1), D(2026, 9, 22)), ("cl", D(2026, 11, 1), D(2026, 10, 20)),
     ("ng", D(2025, 1, 1), D(2024, 12, 27)), ("ng", D(2026, 8, 1), D(2026, 7, 29)), ("ng", D(2026, 10, 1), D(2026, 9, 28)), ("last_bd", D(2025, 1, 1), D(2024, 12, 31)), ("last_bd", D(2026, 9, 1), D(2026, 8, 31)),
     ("brent", D(2025, 3, 1), D(2025, 1, 31)), ("brent", D(2026, 10, 1), D(2026, 8, 28)), ("brent", D(2026, 11, 1), D(2026, 9, 30)), ("ttf", D(2026, 11, 1), D(2026, 10, 29)),
 ])
-def test_expiry(spark, table, rule, delivery, expiry):
-    assert calendars.expiries(spark.createDataFrame([(delivery,)], "delivery date"), table, rule).first().expiry == expiry
+def test_expiry(spark, rule, delivery, expiry):
+    assert calendars.expiries(spark.createDataFrame([(delivery,)], "delivery date"), rule).first().expiry == expiry
 
 
 @pytest.mark.parametrize(("weekday", "period", "release"), [
     ("WED", D(2026, 9, 18), D(2026, 9, 23)), ("WED", D(2026, 9, 4), D(2026, 9, 10)), ("THU", D(2026, 9, 18), D(2026, 9, 24)), ("THU", D(2026, 11, 20), D(2026, 11, 27)),
     ("FRI", D(2026, 9, 15), D(2026, 9, 18)), ("FRI", D(2026, 9, 8), D(2026, 9, 14)), ("FRI", D(2026, 12, 22), D(2026, 12, 28)),
 ])
-def test_release_date(spark, table, weekday, period, release):
-    assert pit.release_dates(spark.createDataFrame([(period,)], "period date"), "period", weekday, table).first().release_date == release
+def test_release_date(spark, weekday, period, release):
+    assert pit.release_dates(spark.createDataFrame([(period,)], "period date"), "period", weekday).first().release_date == release
 
 
 def test_release_timestamps(spark):
@@ -43,9 +38,9 @@ def test_release_timestamps(spark):
     assert [r.t for r in late] == [dt.datetime(2026, 9, 16, 4), dt.datetime(2026, 11, 3, 5)]
 
 
-def test_business_days_from_a_closed_day(spark, table):
+def test_business_days_from_a_closed_day(spark):
     rows = spark.createDataFrame([(D(2026, 7, 4), n) for n in (-1, 0, 1)] + [(D(2026, 7, 6), 0)], "d date, n int")
-    got = {(r.d, r.n): r.out for r in calendars.add_business_days(rows, "d", F.col("n"), table, "out").collect()}
+    got = {(r.d, r.n): r.out for r in calendars.add_business_days(rows, "d", "n", "out").collect()}
     assert got == {(D(2026, 7, 4), -1): D(2026, 7, 2), (D(2026, 7, 4), 0): D(2026, 7, 6), (D(2026, 7, 4), 1): D(2026, 7, 6), (D(2026, 7, 6), 0): D(2026, 7, 6)}
 
 
@@ -60,7 +55,7 @@ def test_as_of_join_takes_what_was_public(spark):
 
 def test_overrides_make_the_release_path_go_back(spark):
     rows = [(D(2026, 1, 20), dt.datetime(2026, 1, 23)), (D(2026, 1, 27), dt.datetime(2026, 1, 30)), (D(2025, 12, 30), dt.datetime(2026, 1, 2))]
-    late = pit.apply_overrides(spark.createDataFrame(rows, "period date, available_at timestamp_ntz"), spark.createDataFrame([(D(2025, 9, 30), D(2025, 12, 30), dt.datetime(2026, 2, 2))], "first date, last date, late timestamp_ntz"))
+    late = pit.apply_overrides(spark.createDataFrame(rows, "period date, available_at timestamp_ntz"), [(D(2025, 9, 30), D(2025, 12, 30), dt.datetime(2026, 2, 2))])
     day = spark.createDataFrame([(dt.datetime(2026, 2, 4),)], "t timestamp_ntz")
     assert pit.as_of_join(day, late, "t", "available_at", ["period"], tie="period").first().period == D(2025, 12, 30)
     assert pit.as_of_join(day, late, "t", "available_at", ["period"], tie="period", order_by="period").first().period == D(2026, 1, 27)
@@ -180,6 +175,63 @@ def test_roll_masks_and_levels(spark):
 def test_text_claims(spark):
     rows = spark.createDataFrame([(1, "It fell -2.3% to $91.50 on 1.2bn of volume"), (2, "M1-M2 at T3 with CLZ26 on 2026-01-05 12:30")], "id int, t string")
     got = {(r.id, r.raw): (r.value, r.decimals, r.percent) for r in text.claims(rows, "t", "id").collect()}
-    assert got == {(1, "-2.3%"): (-2.3, 1, True), (1, "$91.50"): (91.5, 2, False), (1, "1.2bn"): (1.2e9, 1, False)}
+    assert got == {(1, "-2.3%"): (2.3, 1, True), (1, "$91.50"): (91.5, 2, False), (1, "1.2bn"): (1.2, 1, False)}
     one = spark.range(1).select(text.cited_ids(F.lit("a [T10] b [T2] [T10]")).alias("c"), text.redacted(F.lit("u?api_key=abc&x=1")).alias("r"), text.written_decimals(F.lit(1.25)).alias("w"), text.normalised(F.lit(" A-b!c ")).alias("n")).first()
     assert (one.c, one.r, one.w, one.n) == ([2, 10], "u?api_key=***&x=1", 2, "a b c")
+
+
+def test_calendar_rules_match_plain_dates(spark):
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(D(1970, 1, 1)), F.lit(D(2060, 12, 31)))).alias("d"))
+    for name in ("cme", "uk", "us_federal"):
+        got = {r.d for r in days.filter(calendars.weekday_holiday(F.col("d"), name)).collect()}
+        assert got == {d for _, d in calendars.holiday_rows(name, 1970, 2060)}
+
+
+def test_dates_far_away_and_null(spark):
+    rows = spark.createDataFrame([(D(1980, 7, 3),), (D(2024, 7, 3),), (D(2045, 7, 3),), (None,)], "d date")
+    got = {r.d: r.out for r in calendars.add_business_days(rows, "d", 1, "out").collect()}
+    assert got == {D(1980, 7, 3): D(1980, 7, 7), D(2024, 7, 3): D(2024, 7, 5), D(2045, 7, 3): D(2045, 7, 5), None: None}
+    out = {r.d: r.release_date for r in pit.release_dates(rows, "d", "WED").collect()}
+    assert len(out) == 4 and out[D(2045, 7, 3)] == D(2045, 7, 6) and out[None] is None
+    one = rows.select("d", calendars.last_business_day_of_month(F.col("d")).alias("l"), calendars.holidays_between(F.col("d"), F.date_add("d", 5)).alias("h"), calendars.calendar_for(F.lit("ICE")).alias("c")).collect()
+    assert {r.d: (r.l, r.h) for r in one}[D(2024, 7, 3)] == (D(2024, 7, 31), [D(2024, 7, 4)]) and one[0].c == "uk"
+    codes = [(r.code, r.expiry) for r in calendars.contracts(spark, "CL", D(2024, 11, 1), D(2024, 12, 31), "cl").orderBy("delivery").collect()]
+    assert codes == [("CLZ24", D(2024, 11, 20)), ("CLF25", D(2024, 12, 19))]
+
+
+def test_overrides_keep_every_vintage(spark):
+    rows = [(D(2026, 1, 9), 1.0, dt.datetime(2026, 1, 10)), (D(2026, 1, 9), 1.0, dt.datetime(2026, 1, 11)), (None, 2.0, dt.datetime(2026, 1, 1)), (D(2026, 1, 9), 3.0, None)]
+    out = pit.apply_overrides(spark.createDataFrame(rows, "period date, value double, available_at timestamp_ntz"), [(D(2026, 2, 1), D(2026, 3, 1), dt.datetime(2026, 5, 1))])
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, rows))
+
+
+def test_position_size_gates(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, 0.4, 300, None), (1, 4.0, 300, 0.0), (2, nan, 300, 0.0), (3, inf, 300, 0.0), (4, None, 300, 0.0), (5, 0.0, 300, 0.0), (6, 0.2, 100, -0.9), (7, 0.2, 300, -0.3), (8, 0.8, 300, -0.1)]
+    got = {r.k: r for r in risk.position_size(spark.createDataFrame(rows, "k int, vol double, history_days int, strategy_drawdown double")).collect()}
+    assert [(got[k].fraction, got[k].binding) for k in range(9)] == [(0.25, "max_position_fraction"), (0.05, "vol_target"), *[(0.0, "invalid_vol")] * 4, (0.0, "min_history_days"), (0.0, "max_drawdown_stop"), (0.25, "vol_target")]
+    assert got[0].vol_target_fraction == 0.5 and got[2].vol_target_fraction is None and got[7].reasons == ["strategy drawdown -30.0% beyond stop -30%"]
+    assert got[0].reasons == ["vol target 20% / realized 40.0% = 0.50", "capped by max_position_fraction"]
+
+
+def test_checked_text(spark):
+    payloads = [("T1", '{"stocks": 426398, "change": 0.0742, "label": "near 12.5% of 3.2bn", "result_id": 99}'), ("T2", '{"units": "%", "level": 55.2, "vol_pctile": 0.31}'), ("T3", '{"error": "no data for 500"}'), ("T4", '{"x": [1.2345e9, true, null, {"deep": -139.5}]}')]
+    values = text.tool_values(spark.createDataFrame(payloads, "result_id string, payload string"))
+    cases = [
+        ("Stocks are 426k, up 7.4% [T1].", []), ("Stocks are 427k [T1].", ["427k"]), ("The level is 55.2% and 55.2 [T2].", []), ("A share of 55.3% [T2].", ["55.3%"]), ("It fell 742bps [T1].", []),
+        ("Quoted 12.5% and 3.2bn [T1].", []), ("Down $139.50 to $1.2bn [T4].", []), ("Over 20 days, 3 analysts since 2019, P10 of M1 and the 3-2-1 on 2026-01-05 at 10:30, 20d [T1].", []), ("The 55th percentile [T2].", []),
+        ("It is 500 [T3].", ["500"]), ("It is 500.", [None]), ("It is 500 [T8].", ["T8"]), ("Roughly double.", []), ("Both 426,398 and 55.2 [T1, T2].", []), ("In 2025 it was 2025.5 [T1].", ["2025.5"]),
+    ]
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, t string")
+    keyed = spark.range(len(cases)).select(F.col("id").cast("int").alias("k")).crossJoin(values)
+    found = text.check_text(rows, "t", keyed, "k")
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.k, []).append(r.raw)
+    assert got == {k: want for k, (_, want) in enumerate(cases) if want}
+    bad = {r.k: r.t for r in text.without_unsupported(rows, "t", found, "k").collect()}
+    assert bad[1] == "" and bad[0] == cases[0][0]
+    fields = spark.createDataFrame([(0, '{"a": "It is 426k [T1].", "b": ["It is 9,999 [T1]."]}')], "k int, j string")
+    assert [(r.k, r.raw) for r in text.check_fields(fields, "j", keyed, "k").collect()] == [(0, "9,999")]
+    signed = spark.range(1).select(*[text.signed_match(F.lit(v), F.lit(1), F.lit(p), text.known(F.array(F.lit(-0.139)))).alias(n) for n, v, p in (("a", -13.9, True), ("b", 13.9, True), ("c", -0.1, False))]).first()
+    assert (signed.a, signed.b, signed.c) == (True, False, True)

@@ -1,18 +1,17 @@
-"""Exchange calendars as a table (calendar, date, is_bd, le, ge), and business-day arithmetic as joins.
+"""Exchange calendars as column expressions: holidays follow from a date by rule, so any date has its answer.
 
-le and ge number the last business day on or before a date and the first on
-or after it. The table spans 1990 to 2040 (three calendars, 56,000 rows, a
-fixed size that a join may broadcast).
+Functions of columns give business days, shifts and expiries of any date. Those
+of frames work on the distinct dates of the frame and join the answers back, as
+a rule is dearer than a look-up. Null dates give null.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FIRST, LAST = 1990, 2040
 #: The calendar of each exchange; others follow cme.
 EXCHANGES = {"NYMEX": "cme", "ICE": "uk", "ICE Endex": "uk", "NYSE Arca": "cme"}
 #: Delivery month codes of futures.
@@ -60,19 +59,101 @@ def holidays(calendar: str, year: int) -> set[dt.date]:
     raise ValueError(f"unknown calendar {calendar}")
 
 
-def holiday_rows(calendar: str, first: int = FIRST, last: int = LAST) -> list[tuple[str, dt.date]]:
-    """Holidays that fall on weekdays."""
+def holiday_rows(calendar: str, first: int, last: int) -> list[tuple[str, dt.date]]:
+    """Holidays of some years that fall on weekdays, as plain dates."""
     return sorted({(calendar, d) for y in range(first, last + 1) for d in holidays(calendar, y) if d.weekday() < 5})
 
 
-def calendar_table(spark: SparkSession, *names: str, first: int = FIRST, last: int = LAST) -> DataFrame:
-    names = names or ("cme", "uk", "us_federal")
-    closed = spark.createDataFrame([r for n in names for r in holiday_rows(n, first, last)], "calendar string, date date")
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(dt.date(first, 1, 1)), F.lit(dt.date(last, 12, 31)))).alias("date"), F.array(*map(F.lit, names)).alias("names"))
-    days = days.select(F.explode("names").alias("calendar"), "date").join(closed.withColumn("closed", F.lit(True)), ["calendar", "date"], "left")
-    days = days.select("calendar", "date", (F.weekday("date").__lt__(5) & F.col("closed").isNull()).alias("is_bd"))
-    le = F.sum(F.col("is_bd").cast("int")).over(Window.partitionBy("calendar").orderBy("date"))
-    return days.withColumn("le", le).withColumn("ge", F.col("le") + F.when(F.col("is_bd"), 0).otherwise(1))
+def _easter(date: Column) -> Column:
+    """Easter Sunday of the year of a date, by the same algorithm."""
+    div = lambda x, n: F.floor(x / n).cast("int")
+    y = F.year(date)
+    a, b, c = y % 19, div(y, 100), y % 100
+    h = (19 * a + b - div(b, 4) - div(b - div(b + 8, 25) + 1, 3) + 15) % 30
+    k = (32 + 2 * (b % 4) + 2 * div(c, 4) - h - c % 4) % 7
+    month = h + k - 7 * div(a + 11 * h + 22 * k, 451) + 114
+    return F.make_date(y, div(month, 31), month % 31 + 1)
+
+
+def weekday_holiday(date: Column, calendar: str) -> Column:
+    """Whether a date is a holiday that falls on a weekday."""
+    day, month, weekday, year = F.day(date), F.month(date), F.weekday(date), F.year(date)
+    on = lambda m, d, back=0: (F.month(x := F.date_sub(date, back)) == m) & (F.day(x) == d)
+    nth = lambda m, w, n: (month == m) & (weekday == w) & (day > 7 * (n - 1)) & (day <= 7 * n)
+    last = lambda m, w, days=31: (month == m) & (weekday == w) & (day > days - 7)
+    to_monday = lambda m, d: on(m, d) | ((weekday == 0) & (on(m, d, 1) | on(m, d, 2)))
+    nearest = lambda m, d: on(m, d) | ((weekday == 4) & on(m, d, -1)) | ((weekday == 0) & on(m, d, 1))
+    good_friday = month.isin(3, 4) & (weekday == 4) & (date == F.date_sub(_easter(date), 2))
+    if calendar == "uk":
+        boxing = ((month == 12) & (day == 26) & (weekday > 0)) | ((month == 12) & (day == 27) & (weekday == 1)) | ((month == 12) & (day == 28) & (weekday < 2))
+        easter_monday = month.isin(3, 4) & (weekday == 0) & (date == F.date_add(_easter(date), 1))
+        found = [to_monday(1, 1), good_friday, easter_monday, nth(5, 0, 1), last(5, 0), last(8, 0), to_monday(12, 25), boxing]
+    elif calendar in ("cme", "us_federal"):
+        since = 2022 if calendar == "cme" else 2021
+        found = [nth(1, 0, 3), nth(2, 0, 3), last(5, 0), nearest(7, 4), nth(9, 0, 1), nth(11, 3, 4), nearest(12, 25), nearest(6, 19) & (year >= since)]
+        if calendar == "cme":
+            found += [on(1, 1) | ((weekday == 0) & on(1, 1, 1)), good_friday]
+        else:
+            found += [nearest(1, 1), nth(10, 0, 2), nearest(11, 11)]
+    else:
+        raise ValueError(f"unknown calendar {calendar}")
+    out = found[0]
+    for more in found[1:]:
+        out = out | more
+    return out & (weekday < 5)
+
+
+def is_business_day(date: Column, calendar: str = "cme") -> Column:
+    return (F.weekday(date) < 5) & ~weekday_holiday(date, calendar)
+
+
+def _open_days(first: Column, last: Column, calendar: str) -> Column:
+    """Business days from first to last, backwards where last is earlier."""
+    return F.filter(F.sequence(first, last), lambda d: is_business_day(d, calendar))
+
+
+def at_or_before(date: Column, calendar: str = "cme") -> Column:
+    return F.try_element_at(_open_days(date, F.date_sub(date, 15), calendar), F.lit(1))
+
+
+def at_or_after(date: Column, calendar: str = "cme") -> Column:
+    return F.try_element_at(_open_days(date, F.date_add(date, 15), calendar), F.lit(1))
+
+
+def shifted(date: Column, n: Column, calendar: str = "cme") -> Column:
+    """The date n business days on; from a closed day +1 is the next open one and -1 the one before; 0 rolls forward."""
+    reach = (3 * F.abs(n) + 15).cast("int")
+    ahead = F.try_element_at(_open_days(F.date_add(date, 1), F.date_add(date, reach), calendar), n.cast("int"))
+    back = F.try_element_at(_open_days(F.date_sub(date, 1), F.date_sub(date, reach), calendar), F.abs(n).cast("int"))
+    return F.when(n > 0, ahead).when(n < 0, back).when(n == 0, at_or_after(date, calendar))
+
+
+def last_business_day_of_month(date: Column, calendar: str = "cme") -> Column:
+    return at_or_before(F.last_day(date), calendar)
+
+
+def holidays_between(first: Column, last: Column, calendar: str = "cme") -> Column:
+    """The holidays on weekdays from first to last, as an array; empty where last is earlier."""
+    return F.when(first <= last, F.filter(F.sequence(first, last), lambda d: weekday_holiday(d, calendar))).when(first > last, F.array().cast("array<date>"))
+
+
+def sessions(first: Column, last: Column, calendar: str = "cme") -> Column:
+    """The business days from first to last, as an array; empty where last is earlier."""
+    return F.when(first <= last, _open_days(first, last, calendar)).when(first > last, F.array().cast("array<date>"))
+
+
+def session_table(spark: SparkSession, first: dt.date, last: dt.date, calendar: str = "cme") -> DataFrame:
+    return spark.range(1).select(F.explode(sessions(F.lit(first), F.lit(last), calendar)).alias("date"))
+
+
+def looked_up(rows: DataFrame, keys: list[str], out: str, value: Column) -> DataFrame:
+    """rows with out, computed once for each distinct value of the keys."""
+    names = {k: f"_key{n}" for n, k in enumerate(keys)}
+    table = rows.select(*keys).distinct().withColumn(out, value).select(*[F.col(k).alias(n) for k, n in names.items()], out)
+    same = F.lit(True)
+    for k, n in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return rows.drop(out).join(table, same, "left").drop(*names.values())
 
 
 def calendar_for(exchange: Column) -> Column:
@@ -80,13 +161,11 @@ def calendar_for(exchange: Column) -> Column:
     return F.coalesce(F.try_element_at(pairs, exchange), F.lit("cme"))
 
 
-def add_business_days(rows: DataFrame, date: str, n: Column, table: DataFrame, out: str, calendar: str = "cme") -> DataFrame:
-    """rows with date moved n business days; from a closed day +1 is the next open one and -1 the one before; 0 rolls forward."""
-    own = table.filter(F.col("calendar") == calendar)
-    places = own.select(F.col("date").alias("_d"), "le", "ge")
-    open_days = own.filter("is_bd").select(F.col("le").alias("_at"), F.col("date").alias(out))
-    moved = rows.join(places, F.col(date) == F.col("_d"), "left").withColumn("_at", F.when(n > 0, F.col("le") + n).otherwise(F.col("ge") + n))
-    return moved.join(open_days, "_at", "left").drop("_d", "le", "ge", "_at")
+def add_business_days(rows: DataFrame, date: str, n: Column | int | str, out: str, calendar: str = "cme") -> DataFrame:
+    """rows with date moved n business days; n is a number or a column's name."""
+    if isinstance(n, str):
+        return looked_up(rows, [date, n], out, shifted(F.col(date), F.col(n), calendar))
+    return looked_up(rows, [date], out, shifted(F.col(date), F.lit(n), calendar))
 
 
 def weekdays_between(start: Column, end: Column) -> Column:
@@ -99,25 +178,36 @@ def month_code(root: Column, date: Column) -> Column:
     return F.concat(root, F.substring(F.lit(MONTH_CODES), F.month(date), F.lit(1)), F.lpad((F.year(date) % 100).cast("string"), 2, "0"))
 
 
-def expiries(months: DataFrame, table: DataFrame, rule: str) -> DataFrame:
-    """months (delivery: first day of the month) with the contract's last trading day under a rule.
+def expiry(delivery: Column, rule: str) -> Column:
+    """A contract's last trading day under a rule, by the first day of its delivery month.
 
     cl: 3 business days before the 25th of the month before (before the
     business day that precedes it, if it is closed); ng: 3 before the 1st;
     last_bd: the last one of the month before; brent: the last one two months
     before; ttf: 2 before the 1st.
     """
-    anchor = {
-        "cl": F.date_add(F.add_months("delivery", -1), 24),
-        "ng": F.col("delivery"),
-        "ttf": F.col("delivery"),
-        "last_bd": F.date_sub("delivery", 1),
-        "brent": F.date_sub(F.add_months("delivery", -1), 1),
-    }[rule]
-    back = {"cl": 3, "ng": 3, "ttf": 2, "last_bd": 0, "brent": 0}[rule]
-    calendar = "uk" if rule in ("brent", "ttf") else "cme"
-    own = table.filter(F.col("calendar") == calendar)
-    at = F.col("ge") if rule in ("ng", "ttf") else F.col("le")
-    placed = months.withColumn("_anchor", anchor).join(own.select(F.col("date").alias("_anchor"), at.alias("_at")), "_anchor", "left")
-    days = own.filter("is_bd").select((F.col("le") + back).alias("_at"), F.col("date").alias("expiry"))
-    return placed.join(days, "_at", "left").drop("_anchor", "_at")
+    before = F.add_months(delivery, -1)
+    if rule == "cl":
+        return shifted(at_or_before(F.date_add(before, 24)), F.lit(-3))
+    if rule == "ng":
+        return shifted(at_or_after(delivery), F.lit(-3))
+    if rule == "ttf":
+        return shifted(at_or_after(delivery, "uk"), F.lit(-2), "uk")
+    if rule == "last_bd":
+        return at_or_before(F.date_sub(delivery, 1))
+    if rule == "brent":
+        return at_or_before(F.date_sub(before, 1), "uk")
+    raise ValueError(f"unknown rule {rule}")
+
+
+def expiries(months: DataFrame, rule: str) -> DataFrame:
+    """months (delivery: first day of the month) with expiry."""
+    return looked_up(months, ["delivery"], "expiry", expiry(F.col("delivery"), rule))
+
+
+def contracts(spark: SparkSession, root: str, first: dt.date, last: dt.date, rule: str) -> DataFrame:
+    """(delivery, code, expiry) of the monthly contracts that expire from first to last."""
+    months = F.sequence(F.date_sub(F.date_trunc("month", F.lit(first)).cast("date"), 0), F.add_months(F.lit(last), 3), F.expr("interval 1 month"))
+    rows = spark.range(1).select(F.explode(months).alias("delivery"))
+    rows = rows.withColumn("code", month_code(F.lit(root), F.col("delivery"))).withColumn("expiry", expiry(F.col("delivery"), rule))
+    return rows.filter(F.col("expiry").between(F.lit(first), F.lit(last)))

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import calendars
+
+
+def release_date(period: Column, weekday: str, calendar: str = "us_federal") -> Column:
+    """The first such weekday strictly after the period, later by one business day for each holiday of its week up to it."""
+    nominal = F.next_day(period, weekday)
+    holidays = F.size(calendars.holidays_between(F.date_sub(nominal, F.weekday(nominal)), nominal, calendar))
+    return F.when(holidays > 0, calendars.shifted(nominal, holidays, calendar)).otherwise(nominal)
+
 
-def release_dates(rows: DataFrame, period: str, weekday: str, table: DataFrame, calendar: str = "us_federal") -> DataFrame:
-    """rows with release_date: the first such weekday strictly after the period, later by one business day for each holiday of its week up to it."""
-    own = table.filter(F.col("calendar") == calendar)
-    closed = own.filter(~F.col("is_bd") & (F.weekday("date") < 5)).select(F.col("date").alias("_closed"))
-    nominal = rows.select(period).distinct().withColumn("_nominal", F.next_day(period, weekday))
-    monday = F.date_sub("_nominal", F.weekday("_nominal"))
-    counted = nominal.withColumn("_week", monday).join(closed, (F.date_sub("_closed", F.weekday("_closed")) == F.col("_week")) & (F.col("_closed") <= F.col("_nominal")), "left")
-    counted = counted.groupBy(period, "_nominal").agg(F.count("_closed").alias("_k"))
-    days = own.select(F.col("date").alias("_nominal"), "le", "ge")
-    open_days = own.filter("is_bd").select(F.col("le").alias("_at"), F.col("date").alias("_open"))
-    moved = counted.join(days, "_nominal").withColumn("_at", F.when(F.col("_k") > 0, F.col("le") + F.col("_k")))
-    moved = moved.join(open_days, "_at", "left").select(period, F.when(F.col("_k") > 0, F.col("_open")).otherwise(F.col("_nominal")).alias("release_date"))
-    return rows.join(moved, period)
+def release_dates(rows: DataFrame, period: str, weekday: str, calendar: str = "us_federal") -> DataFrame:
+    """rows with release_date; null for a null period."""
+    return calendars.looked_up(rows, [period], "release_date", release_date(F.col(period), weekday, calendar))
 
 
 def utc(date: Column, clock: str, zone: str) -> Column:
@@ -30,11 +32,13 @@ def next_day_availability(published: Column, lag_days: int, zone: str) -> Column
     return utc(F.date_add(published, lag_days), "00:00:00", zone)
 
 
-def apply_overrides(rows: DataFrame, overrides: DataFrame, period: str = "period", available: str = "available_at") -> DataFrame:
-    """Periods inside an override range (first, last, late) are public no earlier than late; the ranges are a configured handful."""
-    late = rows.join(F.broadcast(overrides), F.col(period).between(F.col("first"), F.col("last")), "left")
-    keys = [c for c in rows.columns if c != available]
-    return late.groupBy(*keys).agg(F.max(F.greatest(available, "late")).alias(available))
+def apply_overrides(rows: DataFrame, overrides: Sequence[tuple[dt.date, dt.date, dt.datetime]], period: str = "period", available: str = "available_at") -> DataFrame:
+    """Rows whose period lies in a configured range (first, last, late) are public no earlier than late; each row by itself."""
+    out = F.col(available)
+    for first, last, late in overrides:
+        inside = F.col(period).between(F.lit(first), F.lit(last)) & F.col(available).isNotNull()
+        out = F.when(inside, F.greatest(out, F.lit(late).cast("timestamp_ntz"))).otherwise(out)
+    return rows.withColumn(available, out)
 
 
 def as_of_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, values: list[str], by: tuple[str, ...] = (), tie: str | None = None, order_by: str = "release") -> DataFrame:

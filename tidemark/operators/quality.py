@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.windows import island, previous
 
+from . import calendars
+
 #: Ratios of share splits that a price step is compared with.
 SPLITS = (2, 3, 4, 5, 8, 10, 20, 25, 50)
 
@@ -32,10 +34,9 @@ def zero_volume(bars: DataFrame) -> DataFrame:
     return issue(bars.filter("volume = 0"), "zero_volume", "warn")
 
 
-def expected_sessions(bars: DataFrame, table: DataFrame, calendar: str = "cme") -> DataFrame:
+def expected_sessions(bars: DataFrame, calendar: str = "cme") -> DataFrame:
     edge = bars.groupBy("symbol").agg(F.min("date").alias("first"), F.max("date").alias("last"))
-    days = table.filter((F.col("calendar") == calendar) & F.col("is_bd")).select("date")
-    return edge.join(days, F.col("date").between(F.col("first"), F.col("last"))).select("symbol", "date")
+    return edge.select("symbol", F.explode(calendars.sessions(F.col("first"), F.col("last"), calendar)).alias("date"))
 
 
 def missing_sessions(bars: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -59,11 +60,10 @@ def repeated_close(bars: DataFrame, least: int = 4) -> DataFrame:
     return issue(runs.filter(F.col("n") >= least), "repeated_close", "warn", F.col("n"))
 
 
-def stale(bars: DataFrame, table: DataFrame, today: Column, most: int = 3, calendar: str = "cme") -> DataFrame:
-    last = bars.groupBy("symbol").agg(F.max("date").alias("last"))
-    days = table.filter((F.col("calendar") == calendar) & F.col("is_bd")).select("date")
-    between = last.join(days, (F.col("date") > F.col("last")) & (F.col("date") < today)).groupBy("symbol", "last").agg(F.count(F.lit(1)).alias("n"))
-    return issue(between.filter(F.col("n") > most).withColumnRenamed("last", "date"), "stale_data", "warn", F.col("n"))
+def stale(bars: DataFrame, today: Column, most: int = 3, calendar: str = "cme") -> DataFrame:
+    last = bars.groupBy("symbol").agg(F.max("date").alias("date"))
+    between = F.size(calendars.sessions(F.date_add("date", 1), F.date_sub(today, 1), calendar))
+    return issue(last.withColumn("n", between).filter(F.col("n") > most), "stale_data", "warn", F.col("n"))
 
 
 def outliers(returns: DataFrame, sigmas: float = 10.0, least: int = 30) -> DataFrame:
@@ -84,10 +84,10 @@ def split_suspects(returns: DataFrame, tolerance: float = 0.02) -> DataFrame:
     return issue(returns.filter("ret is not null").filter(near), "split_suspect", "warn", step)
 
 
-def report(bars: DataFrame, returns: DataFrame, table: DataFrame, today: Column) -> DataFrame:
+def report(bars: DataFrame, returns: DataFrame, today: Column, calendar: str = "cme") -> DataFrame:
     """All issues of all symbols."""
-    sessions = expected_sessions(bars, table)
-    parts = [missing_values(bars), ohlc_inconsistent(bars), nonpositive_price(bars), zero_volume(bars), missing_sessions(bars, sessions), unexpected_sessions(bars, sessions), gaps(bars, sessions), repeated_close(bars), stale(bars, table, today), outliers(returns), split_suspects(returns)]
+    sessions = expected_sessions(bars, calendar)
+    parts = [missing_values(bars), ohlc_inconsistent(bars), nonpositive_price(bars), zero_volume(bars), missing_sessions(bars, sessions), unexpected_sessions(bars, sessions), gaps(bars, sessions), repeated_close(bars), stale(bars, today, calendar=calendar), outliers(returns), split_suspects(returns)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -79,12 +79,24 @@ def summary(returns: DataFrame) -> DataFrame:
 
 
 def position_size(rows: DataFrame, target_vol: float = 0.2, most: float = 0.25, gross: float = 1.0, stop: float = 0.3, history: int = 252) -> DataFrame:
-    """rows (vol, history_days, strategy_drawdown) with size and the name of the cap that binds."""
-    caps = F.array_compact(F.array(
-        F.struct(F.try_divide(F.lit(target_vol), F.col("vol")).alias("size"), F.lit(0).alias("at"), F.lit("vol_target").alias("cap")),
-        F.struct(F.lit(most).alias("size"), F.lit(1).alias("at"), F.lit("max_position").alias("cap")),
-        F.struct(F.lit(gross).alias("size"), F.lit(2).alias("at"), F.lit("max_gross").alias("cap")),
-    ))
-    none = lambda name: F.struct(F.lit(0.0).alias("size"), F.lit(-1).alias("at"), F.lit(name).alias("cap"))
-    chosen = F.when(F.col("history_days") < history, none("history")).when(F.col("strategy_drawdown") <= -stop, none("drawdown_stop")).when(F.col("vol").isNull() | (F.col("vol") <= 0), none("invalid_vol")).otherwise(F.array_min(caps))
-    return rows.withColumn("chosen", chosen).select(*rows.columns, "chosen.size", "chosen.cap")
+    """rows (vol, history_days, strategy_drawdown) with fraction, vol_target_fraction, binding and reasons.
+
+    The gates come in this order: history, drawdown stop (no stop where the
+    drawdown is null), a volatility above zero and finite; then the least of
+    the volatility target and the limits, the target first where they are equal.
+    """
+    vol, none = F.col("vol").cast("double"), F.lit(None).cast("double")
+    valid = F.coalesce((vol > 0) & ~F.isnan(vol) & (vol < float("inf")), F.lit(False))
+    target = F.when(valid, F.lit(target_vol) / vol)
+    limits = (("vol_target", target), ("max_position_fraction", F.lit(most)), ("max_gross_exposure", F.lit(gross)))
+    least = F.array_min(F.array(*[F.struct(size.alias("size"), F.lit(k).alias("at"), F.lit(name).alias("binding")) for k, (name, size) in enumerate(limits)]))
+    percent = lambda x, digits: F.format_string(f"%.{digits}f%%", x * 100)
+    answer = lambda size, own, binding, *why: F.struct(size.alias("fraction"), own.alias("vol_target_fraction"), binding.alias("binding"), F.array(*why).alias("reasons"))
+    capped = F.when(least["binding"] == "vol_target", F.lit("vol target within limits")).otherwise(F.concat(F.lit("capped by "), least["binding"]))
+    chosen = (
+        F.when(F.coalesce(F.col("history_days") < history, F.lit(True)), answer(F.lit(0.0), none, F.lit("min_history_days"), F.format_string(f"only %d days of history (< {history})", F.coalesce("history_days", F.lit(0)).cast("long"))))
+        .when(F.col("strategy_drawdown") <= -stop, answer(F.lit(0.0), none, F.lit("max_drawdown_stop"), F.concat(F.lit("strategy drawdown "), percent(F.col("strategy_drawdown").cast("double"), 1), F.lit(" beyond stop "), percent(F.lit(-stop), 0))))
+        .when(~valid, answer(F.lit(0.0), none, F.lit("invalid_vol"), F.lit("volatility unavailable")))
+        .otherwise(answer(least["size"], target, least["binding"], F.concat(F.lit("vol target "), percent(F.lit(target_vol), 0), F.lit(" / realized "), percent(vol, 1), F.format_string(" = %.2f", target)), capped))
+    )
+    return rows.withColumn("_chosen", chosen).select(*rows.columns, "_chosen.*")

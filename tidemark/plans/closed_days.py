@@ -1,7 +1,8 @@
-"""Queries over exchange calendars; the SQL has the closed days as values."""
+"""Queries over exchange calendars; the SQL has the closed days of the tables' years as values, the operators work for any date."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import functions as F
@@ -23,17 +24,16 @@ idx AS (SELECT *, CAST(sum(CAST(is_bd AS INT)) OVER (ORDER BY date) AS BIGINT) A
 
 def add(day_bars: Callable) -> None:
     """Register the calendar queries over these bars."""
-    span = {"first": FIRST, "last": LAST}
-    register("calendar_sessions", f"WITH {days_sql('cme')} SELECT strftime(date, '%Y-%m-%d') AS date FROM bds")(lambda spark, sf_dir: calendars.calendar_table(spark, "cme", **span).filter("is_bd").select(F.date_format("date", "yyyy-MM-dd").alias("date")))
+    register("calendar_sessions", f"WITH {days_sql('cme')} SELECT strftime(date, '%Y-%m-%d') AS date FROM bds")(lambda spark, sf_dir: calendars.session_table(spark, dt.date(FIRST, 1, 1), dt.date(LAST, 12, 31)).select(F.date_format("date", "yyyy-MM-dd").alias("date")))
     for name, n in (("add_business_days_pos", 3), ("add_business_days_neg", -2), ("add_business_days_zero", 0)):
         at = f"i.le + {n}" if n > 0 else f"i.le + CASE WHEN i.is_bd THEN 0 ELSE 1 END + ({n})"
         register(name, f"WITH {days_sql('cme')} SELECT o_orderkey, strftime(b.date, '%Y-%m-%d') AS moved FROM orders JOIN idx i ON i.date = CAST(o_orderdate AS DATE) JOIN bds b ON b.le = {at}")(
-            lambda spark, sf_dir, n=n: calendars.add_business_days(table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d")), "d", F.lit(n), calendars.calendar_table(spark, "cme", **span), "moved").select("o_orderkey", F.date_format("moved", "yyyy-MM-dd").alias("moved"))
+            lambda spark, sf_dir, n=n: calendars.add_business_days(table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d")), "d", n, "moved").select("o_orderkey", F.date_format("moved", "yyyy-MM-dd").alias("moved"))
         )
     for rule, calendar, anchor, back in (("cl", "cme", "CAST(m - INTERVAL 1 MONTH AS DATE) + 24", 3), ("ng", "cme", "m", 3), ("last_bd", "cme", "m - 1", 0), ("brent", "uk", "CAST(m - INTERVAL 1 MONTH AS DATE) - 1", 0), ("ttf", "uk", "m", 2)):
         ge = "+ CASE WHEN i.is_bd THEN 0 ELSE 1 END" if rule in ("ng", "ttf") else ""
         register(f"expiry_{rule}", f"WITH {days_sql(calendar)}, months AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS m FROM orders) SELECT strftime(m, '%Y-%m-%d') AS delivery, strftime(b.date, '%Y-%m-%d') AS expiry FROM months JOIN idx i ON i.date = {anchor} JOIN bds b ON b.le = i.le {ge} - {back}")(
-            lambda spark, sf_dir, rule=rule: calendars.expiries(table(spark, sf_dir, "orders").select(F.to_date(F.date_trunc("month", "o_orderdate")).alias("delivery")).distinct(), calendars.calendar_table(spark, **span), rule).select(F.date_format("delivery", "yyyy-MM-dd").alias("delivery"), F.date_format("expiry", "yyyy-MM-dd").alias("expiry"))
+            lambda spark, sf_dir, rule=rule: calendars.expiries(table(spark, sf_dir, "orders").select(F.to_date(F.date_trunc("month", "o_orderdate")).alias("delivery")).distinct(), rule).select(F.date_format("delivery", "yyyy-MM-dd").alias("delivery"), F.date_format("expiry", "yyyy-MM-dd").alias("expiry"))
         )
     register("contract_codes", "SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, 'CL' || substr('FGHJKMNQUVXZ', month(o_orderdate), 1) || lpad(CAST(year(o_orderdate) % 100 AS VARCHAR), 2, '0') AS code FROM orders")(
         lambda spark, sf_dir: table(spark, sf_dir, "orders").select(F.to_date(F.date_trunc("month", "o_orderdate")).alias("m")).distinct().withColumn("code", calendars.month_code(F.lit("CL"), F.col("m")))
@@ -43,7 +43,7 @@ def add(day_bars: Callable) -> None:
     )
     weeks = "weeks AS (SELECT DISTINCT CAST(date_trunc('week', l_shipdate) AS DATE) + 4 AS period FROM lineitem)"
     register("release_date_weekly", f"WITH {days_sql('us_federal')}, {weeks}, n AS (SELECT period, period + 5 AS nominal FROM weeks), k AS (SELECT period, nominal, (SELECT count(*) FROM closed WHERE d BETWEEN nominal - 2 AND nominal) AS k FROM n) SELECT strftime(period, '%Y-%m-%d') AS period, strftime(CASE WHEN k = 0 THEN nominal ELSE b.date END, '%Y-%m-%d') AS release_date FROM k JOIN idx i ON i.date = nominal LEFT JOIN bds b ON b.le = i.le + k.k")(
-        lambda spark, sf_dir: pit.release_dates(table(spark, sf_dir, "lineitem").select(F.date_add(F.to_date(F.date_trunc("week", "l_shipdate")), 4).alias("period")).distinct(), "period", "WED", calendars.calendar_table(spark, "us_federal", **span)).select(F.date_format("period", "yyyy-MM-dd").alias("period"), F.date_format("release_date", "yyyy-MM-dd").alias("release_date"))
+        lambda spark, sf_dir: pit.release_dates(table(spark, sf_dir, "lineitem").select(F.date_add(F.to_date(F.date_trunc("week", "l_shipdate")), 4).alias("period")).distinct(), "period", "WED").select(F.date_format("period", "yyyy-MM-dd").alias("period"), F.date_format("release_date", "yyyy-MM-dd").alias("release_date"))
     )
     bars = "b AS (SELECT DISTINCT o_orderstatus AS symbol, CAST(o_orderdate AS DATE) AS date FROM orders), e AS (SELECT symbol, min(date) AS f, max(date) AS l FROM b GROUP BY 1), s AS (SELECT e.symbol, bds.date FROM e JOIN bds ON bds.date BETWEEN e.f AND e.l)"
     head = f"WITH {days_sql('cme')}, {bars}"
@@ -51,7 +51,7 @@ def add(day_bars: Callable) -> None:
     def check(f):
         def query(spark, sf_dir):
             rows = day_bars(spark, sf_dir)
-            return f(rows, quality.expected_sessions(rows, calendars.calendar_table(spark, "cme", **span)))
+            return f(rows, quality.expected_sessions(rows))
 
         return query
 

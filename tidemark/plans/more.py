@@ -79,8 +79,9 @@ register("auto_select", f"WITH m AS ({MODELS}) SELECT grp, model, CASE WHEN row_
 register("holm_adjust", f"WITH m AS (SELECT grp || model AS model, loss / 5000 AS p FROM ({MODELS})), s AS (SELECT *, least(1, (count(*) OVER () - row_number() OVER (ORDER BY p, model) + 1) * p) AS s FROM m) SELECT model, round(max(s) OVER (ORDER BY p, model), 6) AS p_adj FROM s")(
     lambda spark, sf_dir: evaluate.holm(model_losses(spark, sf_dir).select(F.concat("grp", "model").alias("model"), (c("loss") / 5000).alias("p"))).select("model", F.round("p_adj", 6).alias("p_adj"))
 )
-register("non_overlapping_origins", "SELECT o_orderkey AS pos FROM orders WHERE o_orderkey < 2000 AND o_orderkey % 20 = 0")(
-    lambda spark, sf_dir: evaluate.spaced(table(spark, sf_dir, "orders").filter("o_orderkey < 2000 AND o_orderkey % 5 = 0").select(F.lit("m").alias("model"), c("o_orderkey").alias("pos")), ["model"], 20).select("pos")
+# the origins of every symbol are the places of its bars; five apart
+register("non_overlapping_origins", f"WITH {RETURNS} SELECT symbol, CAST(pos AS BIGINT) AS pos FROM returns WHERE (pos - 1) % 5 = 0")(
+    lambda spark, sf_dir: evaluate.spaced(day_returns(spark, sf_dir).select("symbol", c("pos").cast("long").alias("pos")), ["symbol"], 5)
 )
 # microseconds of every event of every user, an hour apart: gaps are irregular and many are wider than the spacing
 SPACED = "WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS pos FROM events), k AS (SELECT user_id, min(pos) AS pos FROM e GROUP BY 1 UNION ALL SELECT k.user_id, min(e.pos) FROM k JOIN e ON e.user_id = k.user_id AND e.pos >= k.pos + 3600000000 GROUP BY k.user_id) SELECT user_id, pos FROM k"
@@ -107,9 +108,20 @@ register("token_cost_by_agent", "SELECT event_type AS agent, round(sum(value * p
 register("events_flatten", "SELECT event_id, strftime(ts, '%H:%M:%S') AS clock, coalesce(event_type, '') AS kind, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")(lambda spark, sf_dir: table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "HH:mm:ss").alias("clock"), F.coalesce("event_type", F.lit("")).alias("kind"), F.get_json_object("props", "$.k").cast("int").alias("k")))
 register("search_universe", "SELECT c_custkey FROM customer WHERE contains(lower(concat_ws(' ', c_name, c_mktsegment)), 'build')")(lambda spark, sf_dir: table(spark, sf_dir, "customer").filter(F.lower(F.concat_ws(" ", "c_name", "c_mktsegment")).contains("build")).select("c_custkey"))
 register("citation_ids", "SELECT event_id, concat(event_id % 7, ',', event_id % 7 + 3) AS ids FROM events")(lambda spark, sf_dir: table(spark, sf_dir, "events").select("event_id", F.array_join(text.cited_ids(F.format_string("x [T%d] y [T%d] [T%d]", c("event_id") % 7 + 3, c("event_id") % 7, c("event_id") % 7)).cast("array<string>"), ",").alias("ids")))
-register("claim_match", "SELECT p_partkey, true AS whole, abs(round(p_retailprice, 1) + 0.2 - p_retailprice) <= 0.05 * (1 + 1e-9) AS off FROM part")(
-    lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", text.matches(F.round("p_retailprice", 2), F.lit(2), F.lit(False), F.array("p_retailprice")).alias("whole"), text.matches(F.round("p_retailprice", 1) + 0.2, F.lit(1), F.lit(False), F.array("p_retailprice")).alias("off"))
-)
+@register("claim_match", """SELECT p_partkey, true AS whole, abs(round(round(p_retailprice, 1) + 0.2, 1) - p_retailprice) <= 0.05 + 1e-9 AS off, abs(round(p_retailprice / 1000, 1) - p_retailprice / 1000) <= 0.05 + 1e-9 AS thousands, true AS points FROM part""")
+def claim_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stated numbers against the price: as it is, a little off, in thousands, and a fraction in basis points."""
+    price = c("p_retailprice")
+    says = lambda form, x: text.claims_of(F.format_string(form, x))[0]
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        text.matches(says("-$%.2f", price), text.known(F.array(price))).alias("whole"),
+        text.matches(says("at %.1f", F.round(price, 1) + 0.2), text.known(F.array(price))).alias("off"),
+        text.matches(says("%.1fk", F.round(price / 1000, 1)), text.known(F.array(price))).alias("thousands"),
+        text.matches(says("%.0fbps", price), text.known(F.array(F.round(price) / 10_000))).alias("points"),
+    )
+
+
 register("safe_keys", "SELECT s_suppkey, regexp_replace(s_name || '/' || s_nationkey, '[^A-Za-z0-9._=-]', '_', 'g') AS k FROM supplier")(lambda spark, sf_dir: table(spark, sf_dir, "supplier").select("s_suppkey", text.safe_key(F.concat_ws("/", "s_name", c("s_nationkey").cast("string"))).alias("k")))
 register("iso_week_folded", "SELECT o_orderkey, least(weekofyear(o_orderdate), 52) AS w FROM orders")(lambda spark, sf_dir: table(spark, sf_dir, "orders").select("o_orderkey", fundamentals.folded_week(F.to_date("o_orderdate")).cast("long").alias("w")))
 register("merge_range", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS v FROM orders")(

@@ -6,6 +6,7 @@ series, events the log.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -189,10 +190,13 @@ def beta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("position_size", f"""WITH {SIMPLE}, v AS (SELECT symbol, stddev_samp(r) * sqrt(252) AS vol, count(r) AS n FROM simple GROUP BY symbol)
-SELECT symbol, round(CASE WHEN n < 252 THEN 0 ELSE least(0.2 / vol, 0.25, 1.0) END, 6) AS size, CASE WHEN n < 252 THEN 'history' WHEN 0.2 / vol <= 0.25 THEN 'vol_target' ELSE 'max_position' END AS cap FROM v""")
+SELECT symbol, round(CASE WHEN n < 252 THEN 0 ELSE least(0.2 / vol, 0.25, 1.0) END, 6) AS fraction, CASE WHEN n < 252 THEN 'min_history_days' WHEN 0.2 / vol <= 0.25 THEN 'vol_target' ELSE 'max_position_fraction' END AS binding FROM v
+UNION ALL SELECT 'nan', 0, 'invalid_vol' UNION ALL SELECT 'infinite', 0, 'invalid_vol' UNION ALL SELECT 'stopped', 0, 'max_drawdown_stop' UNION ALL SELECT 'new', 0, 'min_history_days' """)
 def position_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simple_returns(spark, sf_dir).groupBy("symbol").agg(risk.annualized_vol(c("r")).alias("vol"), F.count("r").alias("history_days"), F.lit(0.0).alias("strategy_drawdown"))
-    return risk.position_size(rows).select("symbol", F.round("size", 6).alias("size"), "cap")
+    bad = [("nan", float("nan"), 300, 0.0), ("infinite", float("inf"), 300, None), ("stopped", 0.1, 300, -0.4), ("new", 0.1, 10, -0.4)]
+    rows = rows.unionByName(spark.createDataFrame(bad, "symbol string, vol double, history_days long, strategy_drawdown double"))
+    return risk.position_size(rows).select("symbol", F.round("fraction", 6).alias("fraction"), "binding")
 
 
 MONTHLY = RETURNS + ", monthly AS (SELECT symbol, last_day(date) AS month_end, sum(ret) AS ret FROM returns GROUP BY 1, 2 HAVING count(ret) / count(*) >= 0.8 AND count(ret) > 0)"
@@ -268,8 +272,7 @@ LATE = "late AS (SELECT period, value, CASE WHEN period BETWEEN DATE '1997-03-01
 
 
 def late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranges = spark.sql("SELECT DATE '1997-03-01' AS first, DATE '1997-05-31' AS last, TIMESTAMP_NTZ '1997-07-01 20:00:00' AS late")
-    return pit.apply_overrides(available(spark, sf_dir), ranges)
+    return pit.apply_overrides(available(spark, sf_dir), [(dt.date(1997, 3, 1), dt.date(1997, 5, 31), dt.datetime(1997, 7, 1, 20))])
 
 
 register("release_overrides", f"WITH {AVAILABLE}, {LATE} SELECT strftime(period, '%Y-%m-%d') AS period, strftime(available_at, '%Y-%m-%d %H:%M:%S') AS available_at FROM late")(
@@ -321,7 +324,32 @@ column("volume_jump", lambda: rolls.volume_jump(), "volume / nullif(lag(volume)
 closed_days.add(day_bars)
 
 # text, JSON, log
-register("number_claims", r"SELECT doc_id, len(regexp_extract_all(text, '[0-9]+(\.[0-9]+)?%')) AS n FROM documents")(lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"[0-9]+(\.[0-9]+)?%"), F.lit(0))).alias("n")))
+WRITTEN = r"(?i:((?:\bin|since|from|until|through|during|of|by|early|mid|late|year|fy|to|and)\s*))?([^\p{L}\p{N}_.])([-+\x{2212}]?)(\$?)([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)(\s?%|[A-Za-z]*)(?i:(\s?-?\s?(?:trading\s)?(?:days?|weeks?|months?|years?|sessions?|bars?|quarters?)\b))?"
+MENTIONS = rf"""masked AS (SELECT {{key}}, unnest(regexp_extract_all(regexp_replace(concat(' ', {{text}}), '\b[0-9]{{{{4}}}}-[0-9]{{{{2}}}}-[0-9]{{{{2}}}}(?:[T ][0-9]{{{{2}}}}:[0-9]{{{{2}}}}(?::[0-9]{{{{2}}}})?)?|\b[0-9]{{{{1,2}}}}:[0-9]{{{{2}}}}\b|\b3-2-1\b', ' ', 'g'), '{WRITTEN.replace("{", "{{").replace("}", "}}")}', 0)) AS raw FROM {{source}}),
+parts AS (SELECT *, {", ".join(f"regexp_extract(raw, '^{WRITTEN.replace('{', '{{').replace('}', '}}')}$', {k}) AS {n}" for k, n in ((1, "context"), (3, "sign"), (4, "currency"), (5, "number"), (6, "suffix"), (7, "duration")))} FROM masked),
+read AS (SELECT *, lower(trim(suffix)) AS low, CAST(replace(number, ',', '') AS DOUBLE) AS v FROM parts),
+meant AS (SELECT *, v / CASE WHEN low IN ('bp', 'bps') THEN 100 ELSE 1 END AS value, length(regexp_extract(number, '\.([0-9]+)', 1)) + CASE WHEN low IN ('bp', 'bps') THEN 2 ELSE 0 END AS decimals, low IN ('%', 'bp', 'bps') AS percent,
+  CASE WHEN low = 'k' THEN 1e3 WHEN low IN ('m', 'mm', 'mn') THEN 1e6 WHEN low IN ('b', 'bn') THEN 1e9 WHEN low IN ('t', 'tn') THEN 1e12 ELSE 1 END::DOUBLE AS scale, low IN ('st', 'nd', 'rd', 'th') AS ordinal FROM read),
+plain AS (SELECT *, decimals = 0 AND currency = '' AND (ordinal OR (NOT percent AND scale = 1 AND NOT contains(lower(number), 'e'))) AS plain FROM meant),
+mentions AS (SELECT * FROM plain WHERE low NOT IN ('d', 'w', 'y', 'wk', 'mo', 'yr', 'yrs', 'h', 'q') AND NOT (plain AND value < 13 AND (low = '' OR ordinal)) AND NOT (plain AND duration <> '') AND NOT (plain AND value BETWEEN 1900 AND 2100 AND context <> ''))"""
+register("number_claims", f"WITH {MENTIONS.format(key='doc_id', text='text', source='documents')} SELECT doc_id, trim(concat(sign, currency, number, suffix)) AS raw, value, CAST(decimals AS INT) AS decimals, percent, scale FROM mentions")(lambda spark, sf_dir: text.claims(table(spark, sf_dir, "documents"), "text", "doc_id"))
+
+# facts of parts as tool results, and sentences about them that are right, wrong, uncited or cite what is not there
+@register("check_text", """SELECT p_partkey, 'not_found' AS problem, concat(printf('%.2f', p_size / 4), '%') AS raw FROM part
+UNION ALL SELECT p_partkey, 'uncited', NULL FROM part UNION ALL SELECT p_partkey, 'unknown_citation', 'T9' FROM part""")
+def check_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    price = F.format_string("%.2f", "p_retailprice")
+    said = F.concat(
+        F.lit("Price is $"), price, F.lit(" [T1]. Size "), c("p_size").cast("string"), F.lit(" of year 2019 [T1]; off by "), F.format_string("%.2f", c("p_size") / 4), F.lit("% [T1]. Costs "),
+        F.format_string("%.1f", c("p_retailprice") / 1000), F.lit("k [T2]! It sold 426k without a source. See "), price, F.lit(" [T9]"),
+    )
+    facts = parts.select("p_partkey", F.explode(F.array(
+        F.struct(F.lit("T1").alias("result_id"), F.to_json(F.struct(c("p_retailprice").alias("price"), F.struct("p_size").alias("more"))).alias("payload")),
+        F.struct(F.lit("T2").alias("result_id"), F.to_json(F.struct(F.array("p_retailprice").alias("prices"))).alias("payload")),
+    )).alias("_f")).select("p_partkey", "_f.*")
+    found = text.check_text(parts.select("p_partkey", said.alias("said")), "said", text.tool_values(facts, "p_partkey"), "p_partkey")
+    return found.select("p_partkey", "problem", "raw")
 register("sentence_split", r"SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '[.!?;]\s+|\n+'), lambda x: trim(x, ' ')), lambda x: x <> '')) AS n FROM documents")(lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", F.size(text.sentences(c("text"))).alias("n")))
 register("normalised_text", "SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS t FROM benchmark")(lambda spark, sf_dir: table(spark, sf_dir, "benchmark").select("item_id", text.normalised(c("text")).alias("t")))
 register("json_path_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")(lambda spark, sf_dir: table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")))
