@@ -98,8 +98,8 @@ def test_pnl_bars_on_a_roll_day(spark):
 def test_holm_and_blend(spark):
     rows = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", None)], "model string, p double")
     assert {r.model: r.p_adj for r in evaluate.holm(rows).collect()} == {"a": pytest.approx(0.03), "b": pytest.approx(0.06), "c": pytest.approx(0.06), "d": None}
-    preds = spark.createDataFrame([("a", 1, 0, 1, None, 1.0, 1.0, 0.5), ("b", 1, 0, 1, 1.0, 1.0, 1.0, 0.5), ("a", 1, 0, 2, 2.0, 2.0, 2.0, 0.5), ("b", 1, 0, 2, 4.0, 4.0, 4.0, 0.5)], "model string, horizon int, fold int, pos int, q10 double, q50 double, q90 double, p_up double")
-    weights = spark.createDataFrame([(0, "a", 0.25), (0, "b", 0.75)], "fold int, model string, weight double")
+    preds = spark.createDataFrame([("x", "a", 1, 0, 1, None, 1.0, 1.0, 0.5), ("x", "b", 1, 0, 1, 1.0, 1.0, 1.0, 0.5), ("x", "a", 1, 0, 2, 2.0, 2.0, 2.0, 0.5), ("x", "b", 1, 0, 2, 4.0, 4.0, 4.0, 0.5)], "symbol string, model string, horizon int, fold int, pos int, q10 double, q50 double, q90 double, p_up double")
+    weights = spark.createDataFrame([("x", 0, "a", 0.25), ("x", 0, "b", 0.75)], "symbol string, fold int, model string, weight double")
     assert [r.q10 for r in evaluate.blend(preds, weights, "mix").orderBy("pos").collect()] == pytest.approx([1, 0.25 * 2 + 0.75 * 4])
 
 
@@ -109,8 +109,13 @@ def test_spacing_pinball_and_folds(spark):
     got = spark.createDataFrame([(0.0,), (1.0,)], "y double").select(evaluate.pinball(F.col("y"), F.lit(0.0), 0.9).alias("l")).collect()
     assert [r.l for r in got] == pytest.approx([0, 0.9])
     plan = evaluate.Plan(min_train=30, step=7, max_folds=4)
-    listed = [(k, e, p) for k, e, origins in evaluate.fold_plan(90, plan) for p in origins]
-    assert sorted((r.fold, r.train_end, r.pos) for r in evaluate.fold_table(spark, 90, plan).collect()) == sorted(listed)
+    sizes = spark.createDataFrame([("x", 60), ("y", 30), ("z", 48)], "symbol string, n int")
+    got = sorted(tuple(r) for r in evaluate.fold_table(sizes, plan).collect())
+    starts = {30: (30, 35), 37: (40,), 44: (45, 50), 51: (55,), 58: ()}
+    rows = [(s - 6, p) for s in starts for p in starts[s]]
+    ends = sorted({e for e, _ in rows})[-4:]
+    assert [(f, e, p) for symbol, f, e, p in got if symbol == "x"] == [(ends.index(e), e, p) for e, p in rows if e in ends]
+    assert [(f, e, p) for symbol, f, e, p in got if symbol == "z"] == [(0, 24, 30), (0, 24, 35), (1, 31, 40), (2, 38, 45)] and not any(s == "y" for s, *_ in got)
 
 
 def test_distributions():

@@ -47,55 +47,66 @@ def ar_path(r: np.ndarray, const: float, coef: np.ndarray, sigma: float, h: int)
     return mean, sigma * math.sqrt(sum(x * x for x in np.cumsum(psi)))
 
 
-def smooth(r: np.ndarray, alphas: np.ndarray = np.linspace(0.02, 0.6, 12)) -> tuple[float, float]:
-    """Level and deviation of simple exponential smoothing of the returns, alpha by the least squared error."""
-    best = (math.inf, 0.0, 0.0)
-    for a in alphas:
-        level, errors = float(r[:20].mean()), []
-        for x in r[20:]:
-            errors.append(x - level)
-            level += a * errors[-1]
-        loss = float(np.mean(np.square(errors)))
-        if loss < best[0]:
-            best = (loss, level, math.sqrt(loss))
-    return best[1], best[2]
+def smooth(frames: np.ndarray, alphas: np.ndarray = np.linspace(0.02, 0.6, 12)) -> list[tuple[float, float]]:
+    """Level and deviation of simple exponential smoothing of each row of frames, alpha by the least squared error; rows and alphas in one recursion."""
+    level = np.repeat(frames[:, :20].mean(axis=1)[:, None], len(alphas), axis=1)
+    loss = np.zeros_like(level)
+    for x in frames[:, 20:].T:
+        error = x[:, None] - level
+        loss += error * error
+        level += alphas * error
+    best, row = loss.argmin(axis=1), np.arange(len(frames))
+    return list(zip(level[row, best].tolist(), np.sqrt(loss[row, best] / max(1, frames.shape[1] - 20)).tolist(), strict=True))
 
 
 def statistical(folds: DataFrame, returns: DataFrame, horizons: tuple[int, ...], lookback: int = 756) -> DataFrame:
-    """ar and ses predictions (model, horizon, fold, pos, quantiles, p_up): one group a fold, each with the rows up to its last origin."""
-    ends = folds.groupBy("fold", "train_end").agg(F.max("pos").alias("last"), F.array_sort(F.collect_set("pos")).alias("origins"))
-    own = ends.join(returns.select("pos", "ret"), (F.col("pos") <= F.col("last")) & (F.col("pos") > F.col("train_end") - lookback))
+    """ar and ses predictions (symbol, model, horizon, fold, pos, quantiles, p_up): one group a symbol and fold, each with the rows up to its last origin.
+
+    A row goes to the folds whose frame holds it, by buckets of lookback.
+    """
+    ends = folds.groupBy("symbol", "fold", "train_end").agg(F.max("pos").alias("last"), F.array_sort(F.collect_set("pos")).alias("origins"))
+    bucket = lambda c: F.floor(F.col(c) / lookback)
+    ends = ends.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("train_end") - lookback) / lookback), bucket("last"))))
+    own = ends.join(returns.select("symbol", "pos", "ret", bucket("pos").alias("bucket")), ["symbol", "bucket"]).drop("bucket").filter((F.col("pos") <= F.col("last")) & (F.col("pos") > F.col("train_end") - lookback))
+    columns = ["symbol", "model", "horizon", "fold", "pos", *QUANTILES, "p_up"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos")
         train_end, rows = int(group["train_end"].iloc[0]), []
         train = group.loc[group["pos"] <= train_end, "ret"].dropna().to_numpy(float)
         if len(train) < 100:
-            return pd.DataFrame(columns=["model", "horizon", "fold", "pos", *QUANTILES, "p_up"])
+            return pd.DataFrame(columns=columns)
         ar = fit_ar(train)
-        for p in group["origins"].iloc[0]:
-            seen = group.loc[group["pos"] <= p, "ret"].dropna().to_numpy(float)
-            level, deviation = smooth(seen[-lookback:])
+        places = [int(p) for p in group["origins"].iloc[0]]
+        seen = [group.loc[group["pos"] <= p, "ret"].dropna().to_numpy(float) for p in places]
+        frames, levels = [r[-lookback:] for r in seen], {}
+        for size in {len(f) for f in frames}:
+            same = [k for k, f in enumerate(frames) if len(f) == size]
+            levels |= dict(zip(same, smooth(np.stack([frames[k] for k in same])), strict=True))
+        for k, p in enumerate(places):
+            level, deviation = levels[k]
             for h in horizons:
-                for name, (mean, sigma) in (("ar", ar_path(seen, *ar, h)), ("ses", (level * h, deviation * math.sqrt(h)))):
+                for name, (mean, sigma) in (("ar", ar_path(seen[k], *ar, h)), ("ses", (level * h, deviation * math.sqrt(h)))):
                     up = 0.5 * math.erfc(-mean / sigma / math.sqrt(2)) if sigma > 0 else 0.5
-                    rows.append((name, h, int(group["fold"].iloc[0]), int(p), *(mean + z * sigma for z in Z.values()), up))
-        return pd.DataFrame(rows, columns=["model", "horizon", "fold", "pos", *QUANTILES, "p_up"])
+                    rows.append((group["symbol"].iloc[0], name, h, int(group["fold"].iloc[0]), p, *(mean + z * sigma for z in Z.values()), up))
+        return pd.DataFrame(rows, columns=columns)
 
-    return own.groupBy("fold").applyInPandas(run, "model string, horizon int, fold int, pos bigint, q10 double, q50 double, q90 double, p_up double")
+    return own.groupBy("symbol", "fold").applyInPandas(run, "symbol string, model string, horizon int, fold int, pos bigint, q10 double, q50 double, q90 double, p_up double")
 
 
-def walk_forward(returns: DataFrame, n: int, horizon: int, plan: Plan = Plan(), with_models: bool = True) -> DataFrame:
-    """The leaderboard of a series (pos, ret) at a horizon: naive, drift, ar, ses, their blend and the best so far."""
-    spark = returns.sparkSession
-    folds = evaluate.fold_table(spark, n, plan)
-    columns = ["model", "horizon", "fold", "pos", *QUANTILES, "p_up"]
-    preds = evaluate.empirical(folds.select("fold", "pos"), returns, horizon).select(*columns)
+def walk_forward(returns: DataFrame, horizon: int, plan: Plan = Plan(), with_models: bool = True) -> DataFrame:
+    """The leaderboards of all series (symbol, pos, ret) at a horizon: naive, drift, ar, ses, their blend and the best so far."""
+    returns = returns.persist()
+    folds = evaluate.fold_table(returns.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")), plan).persist()
+    columns = ["symbol", "model", "horizon", "fold", "pos", *QUANTILES, "p_up"]
+    preds = evaluate.empirical(folds.select("symbol", "fold", "pos"), returns, horizon).select(*columns)
     if with_models:
         preds = preds.unionByName(statistical(folds, returns, (horizon,)).select(*columns))
     preds = preds.persist()  # read by the losses, both blends and the board
-    realized = evaluate.labels(returns, horizon)
-    past = evaluate.past_losses(evaluate.losses(preds, realized), folds, horizon)
-    blended = evaluate.blend(preds, evaluate.inverse_loss_weights(past, ["fold"]), "ensemble").unionByName(evaluate.blend(preds, evaluate.best_only(past, ["fold"]), "auto_select"))
+    realized = evaluate.labels(returns, horizon).persist()
+    past = evaluate.past_losses(evaluate.losses(preds, realized), folds, horizon).persist()
+    keys = ["symbol", "fold"]
+    blended = evaluate.blend(preds, evaluate.inverse_loss_weights(past, keys), "ensemble").unionByName(evaluate.blend(preds, evaluate.best_only(past, keys), "auto_select"))
     block = max(math.ceil(horizon / plan.stride), plan.refit_every * math.ceil(plan.step / plan.stride))
-    return evaluate.leaderboard(evaluate.losses(preds.unionByName(blended.select(*columns)), realized), horizon, block)
+    scored = evaluate.losses(preds.unionByName(blended.select(*columns)), realized).persist()  # what is read more than once is kept, on disk where memory is short
+    return evaluate.leaderboard(scored, horizon, block)

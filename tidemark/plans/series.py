@@ -391,67 +391,79 @@ def feature_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.leaks(features.price_features, day_returns(spark, sf_dir), F.lit("1998-06-30").cast("date"), list(FEATURES))
 
 
-def one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return day_returns(spark, sf_dir).filter("symbol = 'O'").select((c("pos") - 1).alias("pos"), (c("ret") / 50).alias("ret"))
+def all_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return day_returns(spark, sf_dir).select("symbol", (c("pos") - 1).alias("pos"), (c("ret") / 50).alias("ret"))
 
 
-SERIES = RETURNS + ", s AS (SELECT pos - 1 AS pos, ret / 50 AS ret FROM returns WHERE symbol = 'O')"
-FOLDS = """starts AS (SELECT CAST(g AS BIGINT) AS start FROM generate_series(756, (SELECT max(pos) FROM s), 20) t(g)),
-rows AS (SELECT start - 6 AS train_end, CAST(p AS BIGINT) AS pos FROM starts, generate_series(start, least(start + 19, (SELECT max(pos) FROM s))) t(p) WHERE p % 5 = 0),
-ranked AS (SELECT *, dense_rank() OVER (ORDER BY train_end DESC) AS back FROM rows), folds AS (SELECT CAST((SELECT max(back) FROM ranked WHERE back <= 30) - back AS INT) AS fold, train_end, pos FROM ranked WHERE back <= 30)"""
-SUMS5 = "sums AS (SELECT pos, CASE WHEN count(ret) OVER w >= 3 THEN sum(ret) OVER w END AS s FROM s WINDOW w AS (ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))"
-EMPIRICAL = SUMS5 + """, q AS (SELECT f.fold, f.pos, quantile_cont(x.s, 0.1) AS a, quantile_cont(x.s, 0.5) AS b, quantile_cont(x.s, 0.9) AS d, avg(CAST(x.s > 0 AS INT)) AS up
-  FROM folds f JOIN sums x ON x.pos <= f.pos AND x.pos > f.pos - 756 AND x.s IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 252),
-preds AS (SELECT 'naive' AS model, fold, pos, a - b AS q10, b - b AS q50, d - b AS q90, 0.5::DOUBLE AS p_up FROM q UNION ALL SELECT 'drift', fold, pos, a, b, d, up FROM q)"""
-LABEL5 = "y AS (SELECT pos, CASE WHEN lead(pos, 5) OVER (ORDER BY pos) IS NOT NULL AND count(ret) OVER w >= 3 THEN sum(coalesce(ret, 0)) OVER w END AS y FROM s WINDOW w AS (ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))"
-LOSSES = "losses AS (SELECT *, (greatest(0.1 * (y - q10), -0.9 * (y - q10)) + greatest(0.5 * (y - q50), -0.5 * (y - q50)) + greatest(0.9 * (y - q90), -0.1 * (y - q90))) / 3 AS loss FROM preds JOIN y USING (pos) WHERE y IS NOT NULL)"
+SERIES = RETURNS + ", s AS (SELECT symbol, pos - 1 AS pos, ret / 50 AS ret FROM returns)"
+FOLDS = """starts AS (SELECT symbol, n, CAST(g AS BIGINT) AS start FROM (SELECT symbol, count(*) AS n FROM s GROUP BY 1) e, generate_series(756, n - 1, 20) t(g)),
+rows AS (SELECT symbol, start - 6 AS train_end, CAST(p AS BIGINT) AS pos FROM starts, generate_series(start, least(start + 19, n - 1)) t(p) WHERE p % 5 = 0),
+ranked AS (SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY train_end DESC) AS back FROM rows),
+folds AS (SELECT symbol, CAST(max(back) OVER (PARTITION BY symbol) - back AS INT) AS fold, train_end, pos FROM ranked WHERE back <= 30)"""
+SUMS5 = "sums AS (SELECT symbol, pos, CASE WHEN count(ret) OVER w >= 3 THEN sum(ret) OVER w END AS s FROM s WINDOW w AS (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))"
+EMPIRICAL = SUMS5 + """, q AS (SELECT f.symbol, f.fold, f.pos, quantile_cont(x.s, 0.1) AS a, quantile_cont(x.s, 0.5) AS b, quantile_cont(x.s, 0.9) AS d, avg(CAST(x.s > 0 AS INT)) AS up
+  FROM folds f JOIN sums x ON x.symbol = f.symbol AND x.pos <= f.pos AND x.pos > f.pos - 756 AND x.s IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 252),
+preds AS (SELECT symbol, 'naive' AS model, fold, pos, a - b AS q10, b - b AS q50, d - b AS q90, 0.5::DOUBLE AS p_up FROM q UNION ALL SELECT symbol, 'drift', fold, pos, a, b, d, up FROM q)"""
+LABEL5 = """y AS (SELECT symbol, pos, CASE WHEN lead(pos, 5) OVER (PARTITION BY symbol ORDER BY pos) IS NOT NULL AND count(ret) OVER w >= 3 THEN sum(coalesce(ret, 0)) OVER w END AS y
+  FROM s WINDOW w AS (PARTITION BY symbol ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))"""
+LOSSES = "losses AS (SELECT *, (greatest(0.1 * (y - q10), -0.9 * (y - q10)) + greatest(0.5 * (y - q50), -0.5 * (y - q50)) + greatest(0.9 * (y - q90), -0.1 * (y - q90))) / 3 AS loss FROM preds JOIN y USING (symbol, pos) WHERE y IS NOT NULL)"
 
 
 def origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.fold_table(spark, one_series(spark, sf_dir).count())
+    return evaluate.fold_table(all_series(spark, sf_dir).groupBy("symbol").agg(F.count(F.lit(1)).alias("n")))
 
 
 def empirical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.empirical(origins(spark, sf_dir).select("fold", "pos"), one_series(spark, sf_dir), 5)
+    return evaluate.empirical(origins(spark, sf_dir).select("symbol", "fold", "pos"), all_series(spark, sf_dir), 5)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.losses(empirical(spark, sf_dir), evaluate.labels(one_series(spark, sf_dir), 5))
+    return evaluate.losses(empirical(spark, sf_dir), evaluate.labels(all_series(spark, sf_dir), 5))
 
 
-register("fold_plan", f"WITH {SERIES}, {FOLDS} SELECT fold, train_end, pos FROM folds")(origins)
-register("empirical_quantiles", f"WITH {SERIES}, {FOLDS}, {EMPIRICAL} SELECT model, fold, pos, round(q10, 6) + 0 AS q10, round(q50, 6) + 0 AS q50, round(q90, 6) + 0 AS q90, round(p_up, 6) AS p_up FROM preds")(
-    lambda spark, sf_dir: empirical(spark, sf_dir).select("model", "fold", "pos", *[(F.round(x, 6) + 0).alias(x) for x in ("q10", "q50", "q90")], F.round("p_up", 6).alias("p_up"))
-)
-register("pinball_loss", f"WITH {SERIES}, {FOLDS}, {EMPIRICAL}, {LABEL5}, {LOSSES} SELECT model, pos, round(loss, 6) AS loss FROM losses")(lambda spark, sf_dir: scored(spark, sf_dir).select("model", "pos", F.round("loss", 6).alias("loss")))
-BOARD = f"WITH {SERIES}, {FOLDS}, {EMPIRICAL}, {LABEL5}, {LOSSES}, base AS (SELECT pos, loss AS base_loss, q50 AS base_mid FROM losses WHERE model = 'naive')"
-register("leaderboard_scores", f"{BOARD} SELECT model, count(*) AS n, round(avg(abs(y - q50)), 6) AS mae, round(avg(abs(y - q50)) / avg(abs(y - base_mid)), 6) AS mase, round(avg(loss), 6) AS pinball, round(1 - avg(loss) / avg(base_loss), 5) AS skill, round(avg(CAST(y BETWEEN q10 AND q90 AS INT)), 6) AS coverage, round(avg(pow(p_up - CAST(y > 0 AS INT), 2)), 6) AS brier FROM losses JOIN base USING (pos) GROUP BY model")(
-    lambda spark, sf_dir: evaluate.leaderboard(scored(spark, sf_dir), 5, 12).select("model", "n", *[F.round(x, 5 if x == "skill" else 6).alias(x) for x in ("mae", "mase", "pinball", "skill", "coverage", "brier")])
+register("fold_plan", f"WITH {SERIES}, {FOLDS} SELECT symbol, fold, train_end, pos FROM folds")(origins)
+
+
+@register("empirical_quantiles", f"""WITH {SERIES}, {FOLDS}, {EMPIRICAL}
+SELECT symbol, model, fold, pos, round(q10, 6) + 0 AS q10, round(q50, 6) + 0 AS q50, round(q90, 6) + 0 AS q90, round(p_up, 6) AS p_up FROM preds""")
+def empirical_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rounded = [(F.round(x, 6) + 0).alias(x) for x in ("q10", "q50", "q90")]
+    return empirical(spark, sf_dir).select("symbol", "model", "fold", "pos", *rounded, F.round("p_up", 6).alias("p_up"))
+
+
+register("pinball_loss", f"WITH {SERIES}, {FOLDS}, {EMPIRICAL}, {LABEL5}, {LOSSES} SELECT symbol, model, pos, round(loss, 6) AS loss FROM losses")(
+    lambda spark, sf_dir: scored(spark, sf_dir).select("symbol", "model", "pos", F.round("loss", 6).alias("loss"))
 )
+BOARD = f"WITH {SERIES}, {FOLDS}, {EMPIRICAL}, {LABEL5}, {LOSSES}, base AS (SELECT symbol, pos, loss AS base_loss, q50 AS base_mid FROM losses WHERE model = 'naive')"
+
+
+@register("leaderboard_scores", f"""{BOARD} SELECT symbol, model, count(*) AS n, round(avg(abs(y - q50)), 6) AS mae, round(avg(abs(y - q50)) / avg(abs(y - base_mid)), 6) AS mase, round(avg(loss), 6) AS pinball,
+  round(1 - avg(loss) / avg(base_loss), 5) + 0 AS skill, round(avg(CAST(y BETWEEN q10 AND q90 AS INT)), 6) AS coverage, round(avg(pow(p_up - CAST(y > 0 AS INT), 2)), 6) AS brier FROM losses JOIN base USING (symbol, pos) GROUP BY 1, 2""")
+def leaderboard_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    board = evaluate.leaderboard(scored(spark, sf_dir), 5, 12)
+    return board.select("symbol", "model", "n", *[(F.round(x, 5 if x == "skill" else 6) + 0).alias(x) for x in ("mae", "mase", "pinball", "skill", "coverage", "brier")])
 
 
-@register("block_means_t", f"{BOARD}, d AS (SELECT l.pos, loss - base_loss AS d, row_number() OVER (ORDER BY l.pos) - 1 AS i, count(*) OVER () AS n FROM losses l JOIN base USING (pos) WHERE model = 'drift'), m AS (SELECT avg(d) AS m FROM d WHERE i // 12 < n // 12 GROUP BY i // 12) SELECT count(*) AS blocks, round(avg(m) / (stddev_samp(m) / sqrt(count(*))), 4) AS t FROM m")
+@register("block_means_t", f"""{BOARD}, d AS (SELECT l.symbol, l.pos, loss - base_loss AS d, row_number() OVER (PARTITION BY l.symbol ORDER BY l.pos) - 1 AS i, count(*) OVER (PARTITION BY l.symbol) AS n
+  FROM losses l JOIN base USING (symbol, pos) WHERE model = 'drift'),
+m AS (SELECT symbol, avg(d) AS m FROM d WHERE i // 12 < n // 12 GROUP BY symbol, i // 12)
+SELECT symbol, count(*) AS blocks, round(avg(m) / (stddev_samp(m) / sqrt(count(*))), 4) AS t FROM m GROUP BY symbol""")
 def block_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir)
-    base = rows.filter("model = 'naive'").select("pos", c("loss").alias("base"))
-    diffs = rows.filter("model = 'drift'").join(base, "pos").select("model", "pos", (c("loss") - c("base")).alias("d"))
-    return evaluate.block_test(diffs, ["model"], 12).select(c("blocks").cast("long").alias("blocks"), F.round("t", 4).alias("t"))
+    base = rows.filter("model = 'naive'").select("symbol", "pos", c("loss").alias("base"))
+    diffs = rows.filter("model = 'drift'").join(base, ["symbol", "pos"]).select("symbol", "model", "pos", (c("loss") - c("base")).alias("d"))
+    return evaluate.block_test(diffs, ["symbol", "model"], 12).select("symbol", c("blocks").cast("long").alias("blocks"), F.round("t", 4).alias("t"))
 
 
 @register("walk_forward_leaderboard")
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A leaderboard a symbol, one evaluation each: symbols are a short list."""
-    rows, out = day_returns(spark, sf_dir), None
-    for symbol, n in sorted((tuple(r) for r in rows.groupBy("symbol").count().collect()), key=str) or [(None, 0)]:
-        own = rows.filter(c("symbol").eqNullSafe(F.lit(symbol))).select((c("pos") - 1).alias("pos"), (c("ret") / 50).alias("ret"))
-        board = forecast.walk_forward(own, n, 5).select(F.lit(symbol).cast("string").alias("symbol"), "*")
-        out = board if out is None else out.unionByName(board)
-    return out
+    """The leaderboards of all symbols in one plan."""
+    return forecast.walk_forward(all_series(spark, sf_dir), 5)
 
 
-@register("threshold_signal", f"WITH {SERIES}, {FOLDS}, {EMPIRICAL} SELECT pos, CASE WHEN p_up >= 0.55 THEN 1.0::DOUBLE WHEN p_up <= 0.45 THEN 0.0::DOUBLE ELSE 0.0::DOUBLE END AS target FROM preds WHERE model = 'drift'")
+@register("threshold_signal", f"WITH {SERIES}, {FOLDS}, {EMPIRICAL} SELECT symbol, pos, CASE WHEN p_up >= 0.55 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS target FROM preds WHERE model = 'drift'")
 def threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return empirical(spark, sf_dir).filter("model = 'drift'").select("pos", backtest.threshold_targets(c("p_up")).alias("target"))
+    return empirical(spark, sf_dir).filter("model = 'drift'").select("symbol", "pos", backtest.threshold_targets(c("p_up")).alias("target"))
 
 
 @register("snapshot_latest")
