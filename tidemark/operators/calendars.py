@@ -75,32 +75,51 @@ def _easter(date: Column) -> Column:
     return F.make_date(y, div(month, 31), month % 31 + 1)
 
 
+def _nth_keys(month: int, weekday: int, first: int) -> list[int]:
+    """Keys (weekday, month, day) of such a weekday in the week that begins on day first."""
+    return [weekday * 10_000 + month * 100 + d for d in range(first, first + 7)]
+
+
+def _fixed_keys(month: int, day: int, saturday: int, sunday: int) -> list[int]:
+    """Keys of a fixed date on weekdays, and of the days it moves to from a Saturday and a Sunday (0: nowhere)."""
+    date = dt.date(2001, month, day)
+    out = [w * 10_000 + month * 100 + day for w in range(5)]
+    for weekday, move in ((5, saturday), (6, sunday)):
+        if move:
+            moved = date + dt.timedelta(move)
+            out.append((weekday + move) % 7 * 10_000 + moved.month * 100 + moved.day)
+    return out
+
+
+def _keys(calendar: str) -> list[int]:
+    """Keys of all holidays whose rule needs neither the year nor Easter."""
+    if calendar == "uk":
+        boxing = [w * 10_000 + 1226 for w in range(1, 5)] + [1 * 10_000 + 1227, 0 * 10_000 + 1228, 1 * 10_000 + 1228]
+        return _fixed_keys(1, 1, 2, 1) + _nth_keys(5, 0, 1) + _nth_keys(5, 0, 25) + _nth_keys(8, 0, 25) + _fixed_keys(12, 25, 2, 1) + boxing
+    both = _nth_keys(1, 0, 15) + _nth_keys(2, 0, 15) + _nth_keys(5, 0, 25) + _fixed_keys(7, 4, -1, 1) + _nth_keys(9, 0, 1) + _nth_keys(11, 3, 22) + _fixed_keys(12, 25, -1, 1)
+    if calendar == "cme":
+        return both + _fixed_keys(1, 1, 0, 1)
+    if calendar == "us_federal":
+        return both + _fixed_keys(1, 1, -1, 1) + _nth_keys(10, 0, 8) + _fixed_keys(11, 11, -1, 1)
+    raise ValueError(f"unknown calendar {calendar}")
+
+
 def weekday_holiday(date: Column, calendar: str) -> Column:
     """Whether a date is a holiday that falls on a weekday."""
-    day, month, weekday, year = F.day(date), F.month(date), F.weekday(date), F.year(date)
-    on = lambda m, d, back=0: (F.month(x := F.date_sub(date, back)) == m) & (F.day(x) == d)
-    nth = lambda m, w, n: (month == m) & (weekday == w) & (day > 7 * (n - 1)) & (day <= 7 * n)
-    last = lambda m, w, days=31: (month == m) & (weekday == w) & (day > days - 7)
-    to_monday = lambda m, d: on(m, d) | ((weekday == 0) & (on(m, d, 1) | on(m, d, 2)))
-    nearest = lambda m, d: on(m, d) | ((weekday == 4) & on(m, d, -1)) | ((weekday == 0) & on(m, d, 1))
-    good_friday = month.isin(3, 4) & (weekday == 4) & (date == F.date_sub(_easter(date), 2))
+    key = F.weekday(date) * 10_000 + F.month(date) * 100 + F.day(date)
+    among = lambda keys: F.array_contains(F.expr(f"array({', '.join(map(str, keys))})"), key)
+    out = among(_keys(calendar))
     if calendar == "uk":
-        boxing = ((month == 12) & (day == 26) & (weekday > 0)) | ((month == 12) & (day == 27) & (weekday == 1)) | ((month == 12) & (day == 28) & (weekday < 2))
-        easter_monday = month.isin(3, 4) & (weekday == 0) & (date == F.date_add(_easter(date), 1))
-        found = [to_monday(1, 1), good_friday, easter_monday, nth(5, 0, 1), last(5, 0), last(8, 0), to_monday(12, 25), boxing]
-    elif calendar in ("cme", "us_federal"):
-        since = 2022 if calendar == "cme" else 2021
-        found = [nth(1, 0, 3), nth(2, 0, 3), last(5, 0), nearest(7, 4), nth(9, 0, 1), nth(11, 3, 4), nearest(12, 25), nearest(6, 19) & (year >= since)]
-        if calendar == "cme":
-            found += [on(1, 1) | ((weekday == 0) & on(1, 1, 1)), good_friday]
-        else:
-            found += [nearest(1, 1), nth(10, 0, 2), nearest(11, 11)]
-    else:
-        raise ValueError(f"unknown calendar {calendar}")
-    out = found[0]
-    for more in found[1:]:
-        out = out | more
-    return out & (weekday < 5)
+        out = out | (among(_SPRING[0] + _SPRING[4]) & F.datediff(date, _easter(date)).isin(1, -2))
+    if calendar == "cme":
+        out = out | (among(_SPRING[4]) & (F.datediff(date, _easter(date)) == -2))
+    if calendar != "uk":
+        out = out | (among(_fixed_keys(6, 19, -1, 1)) & (F.year(date) >= (2022 if calendar == "cme" else 2021)))
+    return out
+
+
+#: Keys of the Mondays and Fridays among which Easter Monday and Good Friday are.
+_SPRING = {w: [w * 10_000 + m * 100 + d for m in (3, 4) for d in range(1, 32)] for w in (0, 4)}
 
 
 def is_business_day(date: Column, calendar: str = "cme") -> Column:
@@ -120,12 +139,24 @@ def at_or_after(date: Column, calendar: str = "cme") -> Column:
     return F.try_element_at(_open_days(date, F.date_add(date, 15), calendar), F.lit(1))
 
 
-def shifted(date: Column, n: Column, calendar: str = "cme") -> Column:
+def ahead(date: Column, n: Column | int, calendar: str = "cme") -> Column:
+    """The n-th business day after a date."""
+    n = (F.lit(n) if isinstance(n, int) else n).cast("int")
+    return F.try_element_at(_open_days(F.date_add(date, 1), F.date_add(date, 3 * n + 15), calendar), n)
+
+
+def behind(date: Column, n: Column | int, calendar: str = "cme") -> Column:
+    """The n-th business day before a date."""
+    n = (F.lit(n) if isinstance(n, int) else n).cast("int")
+    return F.try_element_at(_open_days(F.date_sub(date, 1), F.date_sub(date, 3 * n + 15), calendar), n)
+
+
+def shifted(date: Column, n: Column | int, calendar: str = "cme") -> Column:
     """The date n business days on; from a closed day +1 is the next open one and -1 the one before; 0 rolls forward."""
-    reach = (3 * F.abs(n) + 15).cast("int")
-    ahead = F.try_element_at(_open_days(F.date_add(date, 1), F.date_add(date, reach), calendar), n.cast("int"))
-    back = F.try_element_at(_open_days(F.date_sub(date, 1), F.date_sub(date, reach), calendar), F.abs(n).cast("int"))
-    return F.when(n > 0, ahead).when(n < 0, back).when(n == 0, at_or_after(date, calendar))
+    if isinstance(n, int):
+        return ahead(date, n, calendar) if n > 0 else behind(date, -n, calendar) if n < 0 else at_or_after(date, calendar)
+    size = F.greatest(F.abs(n), F.lit(1))
+    return F.when(n > 0, ahead(date, size, calendar)).when(n < 0, behind(date, size, calendar)).when(n == 0, at_or_after(date, calendar))
 
 
 def last_business_day_of_month(date: Column, calendar: str = "cme") -> Column:
@@ -165,7 +196,7 @@ def add_business_days(rows: DataFrame, date: str, n: Column | int | str, out: st
     """rows with date moved n business days; n is a number or a column's name."""
     if isinstance(n, str):
         return looked_up(rows, [date, n], out, shifted(F.col(date), F.col(n), calendar))
-    return looked_up(rows, [date], out, shifted(F.col(date), F.lit(n), calendar))
+    return looked_up(rows, [date], out, shifted(F.col(date), n, calendar))
 
 
 def weekdays_between(start: Column, end: Column) -> Column:
@@ -188,11 +219,11 @@ def expiry(delivery: Column, rule: str) -> Column:
     """
     before = F.add_months(delivery, -1)
     if rule == "cl":
-        return shifted(at_or_before(F.date_add(before, 24)), F.lit(-3))
+        return behind(at_or_before(F.date_add(before, 24)), 3)
     if rule == "ng":
-        return shifted(at_or_after(delivery), F.lit(-3))
+        return behind(at_or_after(delivery), 3)
     if rule == "ttf":
-        return shifted(at_or_after(delivery, "uk"), F.lit(-2), "uk")
+        return behind(at_or_after(delivery, "uk"), 2, "uk")
     if rule == "last_bd":
         return at_or_before(F.date_sub(delivery, 1))
     if rule == "brent":

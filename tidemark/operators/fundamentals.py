@@ -14,8 +14,9 @@ def monthly_returns(returns: DataFrame, coverage: float = 0.8) -> DataFrame:
     return sums.filter((F.col("share") >= coverage) & F.col("ret").isNotNull()).drop("share")
 
 
-def month_stats(monthly: DataFrame) -> DataFrame:
-    """By symbol and calendar month: n, mean, median, hit rate, t statistic, first and last year."""
+def month_stats(monthly: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """By symbol and calendar month: n, mean, median, hit rate, t statistic, first and last year; of months that ended before as_of."""
+    monthly = monthly if as_of is None else monthly.filter(F.col("month_end") < as_of)
     sd = F.stddev_samp("ret")
     return monthly.groupBy("symbol", F.month("month_end").alias("month")).agg(
         F.count("ret").alias("n"), F.avg("ret").alias("mean"), F.percentile("ret", 0.5).alias("median"), F.avg((F.col("ret") > 0).cast("double")).alias("hit_rate"),
@@ -42,12 +43,12 @@ def seasonal_band(weekly: DataFrame, value: str = "value", years: int = 5, by: t
     return keyed.join(bands, [*by, "_y", "_w"]).drop("_y", "_w")
 
 
-def inventory(weekly: DataFrame, years: int = 5) -> DataFrame:
-    """The level and its weekly change against their seasonal bands."""
-    steps = weekly.withColumn("wow", F.col("value") - F.lag("value").over(Window.orderBy("period")))
-    level = seasonal_band(steps, "value", years)
-    change = seasonal_band(steps, "wow", years).select("period", F.col("band_avg").alias("wow_seasonal"))
-    out = level.join(change, "period")
+def inventory(weekly: DataFrame, years: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
+    """The level and its weekly change against their seasonal bands; without by it is one series, a row a week."""
+    steps = weekly.withColumn("wow", F.col("value") - F.lag("value").over(Window.partitionBy(*by).orderBy("period")))
+    level = seasonal_band(steps, "value", years, by)
+    change = seasonal_band(steps, "wow", years, by).select(*by, "period", F.col("band_avg").alias("wow_seasonal"))
+    out = level.join(change, [*by, "period"])
     width = F.col("band_max") - F.col("band_min")
     return out.select(
         *level.columns, "wow_seasonal", (F.col("value") - F.col("band_avg")).alias("dev"), F.try_divide(F.col("value") - F.col("band_avg"), F.col("band_avg")).alias("dev_pct"),

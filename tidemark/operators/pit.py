@@ -15,7 +15,7 @@ def release_date(period: Column, weekday: str, calendar: str = "us_federal") ->
     """The first such weekday strictly after the period, later by one business day for each holiday of its week up to it."""
     nominal = F.next_day(period, weekday)
     holidays = F.size(calendars.holidays_between(F.date_sub(nominal, F.weekday(nominal)), nominal, calendar))
-    return F.when(holidays > 0, calendars.shifted(nominal, holidays, calendar)).otherwise(nominal)
+    return F.when(holidays > 0, calendars.ahead(nominal, F.greatest(holidays, F.lit(1)), calendar)).otherwise(nominal)
 
 
 def release_dates(rows: DataFrame, period: str, weekday: str, calendar: str = "us_federal") -> DataFrame:
@@ -25,7 +25,7 @@ def release_dates(rows: DataFrame, period: str, weekday: str, calendar: str = "u
 
 def utc(date: Column, clock: str, zone: str) -> Column:
     """A local date and clock time as a UTC timestamp without zone."""
-    return F.to_utc_timestamp(F.concat_ws(" ", date.cast("string"), F.lit(clock)).cast("timestamp_ntz"), zone).cast("timestamp_ntz")
+    return F.to_utc_timestamp(F.concat(date.cast("string"), F.lit(f" {clock}")).cast("timestamp_ntz"), zone).cast("timestamp_ntz")
 
 
 def next_day_availability(published: Column, lag_days: int, zone: str) -> Column:

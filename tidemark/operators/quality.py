@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import island, previous
@@ -66,6 +66,24 @@ def stale(bars: DataFrame, today: Column, most: int = 3, calendar: str = "cme")
     return issue(last.withColumn("n", between).filter(F.col("n") > most), "stale_data", "warn", F.col("n"))
 
 
+def rolls(found: DataFrame) -> DataFrame:
+    """The detected rolls: those dated by volume, and those whose whole window is masked as no jump was seen."""
+    dated = found.withColumn("date", F.coalesce("roll_date", "expiry"))
+    return issue(dated.filter("method = 'volume'"), "rolls", "info").unionByName(issue(dated.filter("method = 'window' and not provisional"), "rolls_unclear", "warn"))
+
+
+def empty(symbols: DataFrame, bars: DataFrame) -> DataFrame:
+    """Symbols without a bar."""
+    return issue(symbols.select("symbol").distinct().join(bars.select("symbol"), "symbol", "left_anti").withColumn("date", F.lit(None).cast("date")), "empty", "error")
+
+
+def by_check(issues: DataFrame, dates: int = 20) -> DataFrame:
+    """(symbol, check, severity, n, ok, dates): the first dates of each check; ok unless an error."""
+    at = F.row_number().over(Window.partitionBy("symbol", "check").orderBy("date"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("_at") <= dates, F.col("date"))))
+    return issues.withColumn("_at", at).groupBy("symbol", "check", "severity").agg(F.count(F.lit(1)).alias("n"), listed.alias("dates")).withColumn("ok", F.col("severity") != "error")
+
+
 def outliers(returns: DataFrame, sigmas: float = 10.0, least: int = 30) -> DataFrame:
     """Returns beyond so many robust deviations of their symbol."""
     middle = returns.groupBy("symbol").agg(F.percentile("ret", 0.5).alias("mid"), F.count("ret").alias("n"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +20,7 @@ def significant(x: Column, digits: int) -> Column:
     return F.when(finite & (x != 0), F.rint(x * scale) / scale).when(x == 0, 0.0)
 
 
-def weekdays_after(date: Column, n: int) -> Column:
+def weekdays_after(date: Column, n: Column | int) -> Column:
     """The date n weekdays later; from a weekend the count begins on Friday."""
     friday = F.date_sub(date, F.greatest(F.weekday(date) - 4, F.lit(0)))
     days = F.weekday(friday) + n
@@ -53,7 +57,7 @@ def cost_by_agent(log: DataFrame) -> DataFrame:
 def cost_usd(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """usage (model, four token classes) with its cost by the prices of a million tokens; a price for each of a few models."""
     classes = ("input", "output", "cache_read", "cache_write")
-    joined = usage.join(F.broadcast(prices), "model", "left")
+    joined = usage.join(prices, "model", "left")
     return joined.withColumn("cost", sum((F.col(f"{c}_tokens") * F.col(f"{c}_price") for c in classes), F.lit(0.0)) / 1e6).drop(*[f"{c}_price" for c in classes])
 
 
@@ -80,6 +84,73 @@ def score(answers: DataFrame) -> DataFrame:
     return answers.withColumn("correct", F.coalesce(right, F.lit(False)))
 
 
+_STEP = re.compile(r"(?P<key>[^\[\]]+)?(?:\[(?P<pick>[^\]]+)\])?")
+
+
+def _followed(payload: str | None, path: str | None) -> str | None:
+    """The JSON of what a path such as a.b[name=x].c[0] leads to; None where it leads nowhere."""
+    try:
+        node = json.loads(payload or "")
+        for part in re.split(r"\.(?![^\[]*\])", path or ""):
+            step = _STEP.fullmatch(part)
+            if step["key"]:
+                node = node[step["key"]]
+            if step["pick"] and "=" in step["pick"]:
+                name, want = step["pick"].split("=", 1)
+                same = lambda x: str(x) == want or (isinstance(x, int | float) and _number(want) == x)  # noqa: B023, E731
+                node = next(x for x in node if same(x.get(name)))
+            elif step["pick"]:
+                node = node[int(step["pick"])]
+        return json.dumps(node)
+    except (ValueError, KeyError, IndexError, TypeError, AttributeError, StopIteration):
+        return None
+
+
+def _number(text: str) -> float | None:
+    try:
+        return float(text)
+    except ValueError:
+        return None
+
+
+def extract(payload: Column, path: Column) -> Column:
+    """What a path leads to in a JSON text, as JSON; null where it leads nowhere."""
+    return F.arrow_udf(lambda p, q: pa.array(map(_followed, p.to_pylist(), q.to_pylist()), pa.string()), "string")(payload, path)
+
+
+def reference_answers(questions: DataFrame, payloads: DataFrame) -> DataFrame:
+    """(id, value, choice): a field's value, or yes or no for a comparison; neither where nothing can be answered.
+
+    questions are (id, kind none / field / compare, tool, path, a, a_tool, op,
+    b, b_tool, b_value), payloads (id, tool, payload).
+    """
+    asked = F.array(*[F.struct(F.lit(n).alias("part"), F.col(t).alias("tool"), F.col(p).alias("path")) for n, t, p in (("field", "tool", "path"), ("a", "a_tool", "a"), ("b", "b_tool", "b"))])
+    parts = questions.select("id", F.inline(asked)).filter("tool is not null and path is not null").join(payloads, ["id", "tool"])
+    parts = parts.select("id", "part", extract(F.col("payload"), F.col("path")).alias("json"))
+    one = lambda n: F.max(F.when(F.col("part") == n, F.col("json"))).alias(f"_{n}")
+    out = questions.join(parts.groupBy("id").agg(one("field"), one("a"), one("b")), "id", "left")
+    a, b = F.col("_a").try_cast("double"), F.coalesce(F.col("_b").try_cast("double"), F.col("b_value"))
+    told = F.when(F.col("op") == ">", a > b).otherwise(a < b)
+    field = F.when(F.col("_field").isin("true", "false"), F.when(F.col("_field") == "true", "yes").otherwise("no")).otherwise(F.regexp_replace("_field", '^"|"$', ""))
+    value = F.when(F.col("kind") == "field", F.col("_field").try_cast("double"))
+    choice = F.when(F.col("kind") == "compare", F.when(told, "yes").when(~told, "no")).when((F.col("kind") == "field") & value.isNull(), field)
+    return out.select("id", value.alias("value"), choice.alias("choice"))
+
+
+def drifted(type_: Column, expected: Column, expected_choice: Column, value: Column, choice: Column, tolerated: Column) -> Column:
+    """Whether a reference answer left what is expected of it."""
+    number = F.coalesce(F.abs(value - expected) > tolerated, F.lit(True))
+    return F.when(type_ == "unanswerable", F.lit(False)).when(type_ == "number", number).otherwise(~normalised(choice).eqNullSafe(normalised(expected_choice)))
+
+
+def frozen(questions: DataFrame, answers: DataFrame, digits: int = 6) -> DataFrame:
+    """questions (id, type, expected, expected_choice) with the reference answers written in, and changed."""
+    new = answers.select("id", significant(F.col("value"), digits).alias("_v"), F.col("choice").alias("_c"))
+    out = questions.join(new, "id", "left").withColumn("_keep", (F.col("type") == "unanswerable") | (F.col("_v").isNull() & F.col("_c").isNull()))
+    out = out.withColumn("changed", ~F.col("_keep") & ~(F.col("expected").eqNullSafe(F.col("_v")) & F.col("expected_choice").eqNullSafe(F.col("_c"))))
+    return out.withColumn("expected", F.when(F.col("_keep"), F.col("expected")).otherwise(F.col("_v"))).withColumn("expected_choice", F.when(F.col("_keep"), F.col("expected_choice")).otherwise(F.col("_c"))).drop("_v", "_c", "_keep")
+
+
 def contiguous_curve(settles: DataFrame, reference: Column, contracts: int, days: int = 30) -> DataFrame:
     """settles (symbol, expiry, date, settle): the last one within days of the reference for each contract, up to the first that has none.
 

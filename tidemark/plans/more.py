@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import backtest, bars, evaluate, fundamentals, indicators, pit, rolls, text
+from tidemark.operators import backtest, bars, decisions, evaluate, features, fundamentals, indicators, pit, reports, rolls, text
 from tidemark.sources.tables import table
 
 from .catalog import register
@@ -100,12 +100,58 @@ def weighted_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # scoring, costs, logs
 register("eval_tolerance", "SELECT event_id, greatest(0.001::DOUBLE * abs(value), CASE WHEN event_type = 'click' THEN 0.0006::DOUBLE ELSE 0.006::DOUBLE END) AS tol FROM events")(lambda spark, sf_dir: table(spark, sf_dir, "events").select("event_id", text.tolerance(F.lit(None).cast("double"), c("value"), c("event_type") == "click").alias("tol")))
-register("eval_by_category", "SELECT event_type, count(*) AS run, count(*) FILTER (WHERE abs(value - round(value, 1)) <= greatest(0.001 * abs(value), 0.006)) AS correct FROM events GROUP BY event_type")(
-    lambda spark, sf_dir: table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("run"), F.count_if(F.abs(c("value") - F.round("value", 1)) <= text.tolerance(F.lit(None).cast("double"), c("value"), F.lit(False))).alias("correct"))
-)
-register("token_cost_by_agent", "SELECT event_type AS agent, round(sum(value * p / 1000), 2) AS cost FROM events JOIN (VALUES ('click', 3.0), ('view', 1.0), ('purchase', 15.0)) AS t(k, p) ON k = event_type GROUP BY 1")(
-    lambda spark, sf_dir: table(spark, sf_dir, "events").join(spark.createDataFrame([("click", 3.0), ("view", 1.0), ("purchase", 15.0)], "event_type string, p double"), "event_type").groupBy(c("event_type").alias("agent")).agg(F.round(F.sum(c("value") * c("p") / 1000), 2).alias("cost"))
-)
+# every event's value rounded is an answer to what the value is: numbers by the tolerance or the precision they are written in, a tenth of them as choices
+SCORED = """SELECT event_type, count(*) AS run, count(*) FILTER (WHERE CASE WHEN event_id % 10 = 0 THEN event_type IN ('click', 'view')
+  ELSE abs(v - value) <= greatest(0.001::DOUBLE * abs(value), 0.006, CASE WHEN v = round(v) THEN 0.5 ELSE 0.05 END) END) AS correct FROM (SELECT *, round(value, 1) AS v FROM events) GROUP BY event_type"""
+
+
+@register("eval_by_category", SCORED)
+def eval_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, none = c("event_id") % 10 == 0, F.lit(None)
+    kinds = F.array(F.lit("click"), F.lit("view"))
+    answers = table(spark, sf_dir, "events").select(
+        "event_type", F.when(asked, "choice").otherwise("number").alias("type"), c("value").alias("expected"), F.round("value", 1).alias("value"), F.lit(False).alias("percent"), none.cast("double").alias("tol"),
+        F.when(c("event_type").isin("click", "view"), c("event_type")).otherwise("click").alias("option"), F.concat(F.lit("It is a "), "event_type").alias("text"), kinds.alias("options"),
+    )
+    return reports.score(answers).groupBy("event_type").agg(F.count(F.lit(1)).alias("run"), F.count_if("correct").alias("correct"))
+
+
+@register("token_cost_by_agent", """SELECT event_type AS agent, round(sum((value * p * 3 + user_id * p * 15 + 2 * p + event_id % 7 * p * 0.5) / 1e6), 6) AS cost
+  FROM events JOIN (VALUES ('click', 3.0::DOUBLE), ('view', 1.0::DOUBLE), ('purchase', 15.0::DOUBLE)) AS t(k, p) ON k = event_type GROUP BY 1""")
+def token_cost_by_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = spark.createDataFrame([(m, 3 * p, 15 * p, p, 0.5 * p) for m, p in (("click", 3.0), ("view", 1.0), ("purchase", 15.0))], "model string, input_price double, output_price double, cache_read_price double, cache_write_price double")
+    usage = table(spark, sf_dir, "events").select(c("event_type").alias("agent"), c("event_type").alias("model"), F.lit("llm").alias("kind"), c("value").alias("input_tokens"), c("user_id").alias("output_tokens"), F.lit(2).alias("cache_read_tokens"), (c("event_id") % 7).alias("cache_write_tokens"))
+    priced = reports.cost_usd(usage, prices).filter("cost is not null")
+    return reports.cost_by_agent(priced).withColumn("cost", F.round("cost", 6))
+
+
+@register("decide", """WITH v AS (SELECT c_mktsegment AS symbol, 'agent' || CAST(c_nationkey % 3 AS VARCHAR) AS name, CASE WHEN avg(c_acctbal) > 4500 THEN 1.0 WHEN avg(c_acctbal) > 4400 THEN 0.0 ELSE -1.0 END * avg(abs(c_acctbal)) / 10000 AS signal FROM customer GROUP BY 1, 2),
+  f AS (SELECT c_mktsegment AS symbol, avg(2 * p - 1) FILTER (WHERE edge) AS s FROM (SELECT c_mktsegment, c_nationkey % 5 AS h, avg(c_acctbal) / 10000 AS p, avg(c_acctbal) > 4450 AS edge FROM customer GROUP BY 1, 2) GROUP BY 1),
+  w(name, weight) AS (VALUES ('agent0', 0.3::DOUBLE), ('agent1', 0.2::DOUBLE), ('agent2', 0.1::DOUBLE), ('silent', 0.15::DOUBLE)),
+  d AS (SELECT f.symbol, (0.25 * coalesce(any_value(f.s), 0) + sum(w.weight * coalesce(v.signal, 0))) / (0.25 + sum(w.weight)) AS score, any_value(f.s) IS NOT NULL AS forecast_edge FROM f CROSS JOIN w LEFT JOIN v ON v.symbol = f.symbol AND v.name = w.name GROUP BY f.symbol)
+  SELECT symbol, round(score, 6) AS score, round(abs(score), 6) AS conviction, forecast_edge, CASE WHEN score >= 0.45 THEN 'strong_buy' WHEN score >= 0.15 THEN 'buy' WHEN score <= -0.45 THEN 'strong_sell' WHEN score <= -0.15 THEN 'sell' ELSE 'hold' END AS rating FROM d""")
+def decide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer")
+    mean = F.avg("c_acctbal")
+    stance = F.when(mean > 4500, "bullish").when(mean > 4400, "neutral").otherwise("bearish").alias("stance")
+    views = customers.groupBy(c("c_mktsegment").alias("symbol"), F.concat(F.lit("agent"), (c("c_nationkey") % 3).cast("string")).alias("agent")).agg(stance, (F.avg(F.abs("c_acctbal")) / 10_000).alias("confidence"))
+    horizons = customers.groupBy(c("c_mktsegment").alias("symbol"), (c("c_nationkey") % 5).alias("horizon")).agg((mean / 10_000).alias("p_up"), (mean > 4450).alias("edge"))
+    out = decisions.decide(views, decisions.forecast_signal(horizons), {"forecast": 0.25, "agent0": 0.3, "agent1": 0.2, "agent2": 0.1, "silent": 0.15})
+    return out.select("symbol", "rating", F.round("score", 6).alias("score"), F.round("conviction", 6).alias("conviction"), "forecast_edge")
+
+
+@register("labels_until", f"WITH {RETURNS}, y AS (SELECT symbol, date, pos, CASE WHEN lead(pos, 5) OVER w IS NOT NULL AND count(ret) OVER n >= 3 THEN sum(coalesce(ret, 0)) OVER n END AS y FROM returns WINDOW w AS (PARTITION BY symbol ORDER BY date), n AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) SELECT symbol, pos, round(CASE WHEN pos + 5 <= 500 THEN y END, 6) AS y_5 FROM y WHERE pos <= 500")
+def labels_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = features.with_labels(day_returns(spark, sf_dir), (5,))
+    return decisions.until(rows, F.lit(500), (5,)).select("symbol", c("pos").cast("long").alias("pos"), F.round("y_5", 6).alias("y_5"))
+
+
+@register("budget_allowed", "WITH e AS (SELECT user_id, event_id, value, sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS spent FROM events) SELECT user_id, event_id, round(coalesce(spent, 0), 4) AS spent, coalesce(spent, 0) + value <= 5000 AS allowed FROM e")
+def budget_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = table(spark, sf_dir, "events").select(c("user_id").alias("run"), c("event_id").alias("seq"), c("value").alias("cost_usd"), F.lit(0).alias("tokens"), c("value").alias("est_usd"), F.lit(0).alias("est_tokens"))
+    return decisions.charged(calls, 5000.0, 1).select(c("run").alias("user_id"), c("seq").alias("event_id"), F.round("spent_usd", 4).alias("spent"), "allowed")
+
+
 register("events_flatten", "SELECT event_id, strftime(ts, '%H:%M:%S') AS clock, coalesce(event_type, '') AS kind, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")(lambda spark, sf_dir: table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "HH:mm:ss").alias("clock"), F.coalesce("event_type", F.lit("")).alias("kind"), F.get_json_object("props", "$.k").cast("int").alias("k")))
 register("search_universe", "SELECT c_custkey FROM customer WHERE contains(lower(concat_ws(' ', c_name, c_mktsegment)), 'build')")(lambda spark, sf_dir: table(spark, sf_dir, "customer").filter(F.lower(F.concat_ws(" ", "c_name", "c_mktsegment")).contains("build")).select("c_custkey"))
 register("citation_ids", "SELECT event_id, concat(event_id % 7, ',', event_id % 7 + 3) AS ids FROM events")(lambda spark, sf_dir: table(spark, sf_dir, "events").select("event_id", F.array_join(text.cited_ids(F.format_string("x [T%d] y [T%d] [T%d]", c("event_id") % 7 + 3, c("event_id") % 7, c("event_id") % 7)).cast("array<string>"), ",").alias("ids")))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import midrank, ordered, previous, rolling, trailing
-from tidemark.operators import backtest, bars, evaluate, features, forecast, fundamentals, indicators, pit, quality, regimes, risk, rolls, text
+from tidemark.operators import backtest, bars, evaluate, features, forecast, fundamentals, indicators, pit, quality, regimes, reports, risk, rolls, text
 from tidemark.sources.tables import table
 
 from . import closed_days
@@ -354,9 +354,17 @@ register("sentence_split", r"SELECT doc_id, len(list_filter(list_transform(regex
 register("normalised_text", "SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS t FROM benchmark")(lambda spark, sf_dir: table(spark, sf_dir, "benchmark").select("item_id", text.normalised(c("text")).alias("t")))
 register("json_path_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")(lambda spark, sf_dir: table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")))
 register("html_title_extract", r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a [^>]*href=')) AS links FROM pages")(lambda spark, sf_dir: table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<a [^>]*href="), F.lit(0))).alias("links")))
-register("run_summary", "SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS purchases, round(sum(value), 2) AS total, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id")(
-    lambda spark, sf_dir: table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(c("event_type") == "purchase").alias("purchases"), F.round(F.sum("value"), 2).alias("total"), F.max_by("event_type", "event_id").alias("last_type"))
-)
+
+
+@register("run_summary", """SELECT CAST(user_id AS VARCHAR) AS run, count(*) FILTER (WHERE event_type IN ('view', 'click')) AS llm_calls, count(*) FILTER (WHERE event_type = 'purchase') AS tool_calls, count(*) FILTER (WHERE value > 100) AS errors,
+  round(sum(value), 2) AS cost, CAST(sum(event_id % 10) AS BIGINT) AS tokens, arg_max(event_type, event_id) FILTER (WHERE event_type = 'purchase') AS rating FROM events GROUP BY 1""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bought = c("event_type") == "purchase"
+    kind = F.when(c("event_type").isin("view", "click"), "llm").when(bought, "tool").otherwise("note")
+    log = table(spark, sf_dir, "events").select(c("user_id").cast("string").alias("run"), c("event_id").alias("seq"), kind.alias("kind"), F.when(c("value") > 100, "too dear").alias("error"), c("value").alias("cost"), (c("event_id") % 10).alias("tokens"), F.when(bought, c("event_type")).alias("rating"))
+    return reports.run_summaries(log, log.select("run").distinct().count()).withColumn("cost", F.round("cost", 2))
+
+
 register("rating_from_score", "SELECT c_custkey, CASE WHEN s >= 0.45 THEN 'strong_buy' WHEN s >= 0.15 THEN 'buy' WHEN s <= -0.45 THEN 'strong_sell' WHEN s <= -0.15 THEN 'sell' ELSE 'hold' END AS rating FROM (SELECT c_custkey, c_acctbal / 10000 AS s FROM customer)")(lambda spark, sf_dir: table(spark, sf_dir, "customer").select("c_custkey", regimes.rating(c("c_acctbal") / 10000).alias("rating")))
 
 
