@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import backtest, bars, decisions, evaluate, features, fundamentals, indicators, pit, reports, rolls, text
 from tidemark.sources.tables import table
 
-from .catalog import register
+from .catalog import oracle_sql, register
 from .series import BARS, RETURNS, c, day_bars, day_returns, over, trend
 
 # rolls: a window of days around the 15th of every month stands for a contract's
@@ -175,7 +175,7 @@ register("merge_range", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_
     lambda spark, sf_dir: bars.merge_range(table(spark, sf_dir, "orders").select("o_orderkey", c("o_totalprice").alias("v")), table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select("o_orderkey", (c("o_totalprice") * 2).alias("v")), "o_orderkey")
 )
 register("null_normalise", "SELECT event_id, CASE WHEN value > 1 THEN value END AS v FROM events")(lambda spark, sf_dir: table(spark, sf_dir, "events").select("event_id", F.nanvl(F.when(c("value") > 1, c("value")).otherwise(F.lit(float("nan"))), F.lit(None).cast("double")).alias("v")))
-register("trend_counts", None)(lambda spark, sf_dir: trend(spark, sf_dir).groupBy("symbol", "trend").count())
+register("trend_counts", f"SELECT symbol, trend, count(*) AS count FROM ({oracle_sql()['trend_regime']}) t GROUP BY 1, 2")(lambda spark, sf_dir: trend(spark, sf_dir).groupBy("symbol", "trend").count())
 
 # shapes
 register("pivot", "SELECT o_orderstatus, count(*) FILTER (WHERE o_orderpriority LIKE '1%') AS p1, count(*) FILTER (WHERE o_orderpriority LIKE '2%') AS p2 FROM orders GROUP BY 1")(
