@@ -70,7 +70,23 @@ def newest_first():
     return Window.partitionBy("symbol").orderBy(c("date").desc())
 
 
-@register("flagship", None)
+FLAGSHIP_DIGITS = {"ret": 6, "sma_fast": 4, "sma_slow": 4, "vol20": 6, "rsi14": 4}
+
+
+@register("flagship", f"""WITH RECURSIVE {RETURNS}, {WEEKLY}, steps AS (
+  SELECT symbol, pos, greatest(close - b, 0) AS up, greatest(b - close, 0) AS down FROM (SELECT symbol, pos, close, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS b FROM returns) WHERE b IS NOT NULL),
+y(symbol, pos, up, down) AS (
+  SELECT symbol, 15::BIGINT, avg(up), avg(down) FROM steps WHERE pos BETWEEN 2 AND 15 GROUP BY symbol HAVING count(*) = 14
+  UNION ALL SELECT s.symbol, s.pos, y.up + (1.0::DOUBLE / 14) * (s.up - y.up), y.down + (1.0::DOUBLE / 14) * (s.down - y.down) FROM y JOIN steps s ON s.symbol = y.symbol AND s.pos = y.pos + 1),
+a AS (SELECT *, CASE WHEN count(close) {over(50)} >= 50 THEN avg(close) {over(50)} END AS sma_fast, CASE WHEN count(close) {over(200)} >= 200 THEN avg(close) {over(200)} END AS sma_slow,
+  CASE WHEN count(ret) {over(20)} >= 16 THEN stddev_samp(ret) {over(20)} * sqrt(252) END AS vol20 FROM returns),
+b AS (SELECT *, lag(sma_slow, 20) OVER (PARTITION BY symbol ORDER BY date) AS before, max(date) OVER (PARTITION BY symbol) AS latest FROM a),
+found AS (SELECT symbol, max(period) AS period FROM b JOIN weekly ON period + 5 <= date WHERE date = latest GROUP BY symbol)
+SELECT b.symbol, b.date, open, high, low, close, volume, round(ret, 6) AS ret, b.pos, round(sma_fast, 4) AS sma_fast, round(sma_slow, 4) AS sma_slow,
+  CASE WHEN before IS NULL THEN 'insufficient_data' WHEN close > sma_fast AND sma_fast > sma_slow AND sma_slow > before THEN 'uptrend' WHEN close < sma_fast AND sma_fast < sma_slow AND sma_slow < before THEN 'downtrend' ELSE 'range' END AS trend,
+  round(vol20, 6) AS vol20, round(CASE WHEN down = 0 THEN CASE WHEN up = 0 THEN 50 ELSE 100 END ELSE 100 - 100 / (1 + up / down) END, 4) AS rsi14,
+  timezone('America/New_York', CAST(b.date AS TIMESTAMP) + INTERVAL '14 hours 30 minutes') AT TIME ZONE 'UTC' AS decision, found.period, weekly.value
+FROM b LEFT JOIN y ON y.symbol = b.symbol AND y.pos = b.pos LEFT JOIN found ON found.symbol = b.symbol LEFT JOIN weekly ON weekly.period = found.period WHERE b.date = b.latest""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest row of each symbol: averages, volatility, RSI, trend, and the weekly value that was public by then."""
     rows = regimes.trend_regime(day_returns(spark, sf_dir)).withColumn("vol20", indicators.realized_vol(c("ret")))
@@ -78,7 +94,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("decision", pit.utc(c("date"), "14:30:00", "America/New_York"))
     series = weekly(spark, sf_dir).withColumn("available_at", pit.utc(F.next_day("period", "WED"), "10:30:00", "America/New_York"))
     latest = rows.withColumn("back", F.max("date").over(Window.partitionBy("symbol"))).filter("date = back").drop("back")
-    return pit.as_of_join(latest, series, "decision", "available_at", ["period", "value"], tie="period")
+    out = pit.as_of_join(latest, series, "decision", "available_at", ["period", "value"], tie="period")
+    return out.withColumns({x: F.round(x, n) for x, n in FLAGSHIP_DIGITS.items()})
 
 
 register("bars", f"WITH {BARS} SELECT * FROM bars")(day_bars)
@@ -127,9 +144,24 @@ recursive_query("wilder14", "wilder14", "close", 14, "(1.0 / 14)")
 recursive_query("atr14", "atr14", "greatest(high - low, abs(high - lag(close) OVER (PARTITION BY symbol ORDER BY date)), abs(low - lag(close) OVER (PARTITION BY symbol ORDER BY date)))", 14, "(1.0 / 14)", 2)
 
 
-@register("rsi_macd")
+@register("rsi_macd", f"""WITH RECURSIVE {RETURNS}, moves AS (SELECT symbol, pos, close, close - lag(close) OVER (PARTITION BY symbol ORDER BY date) AS step FROM returns),
+steps(kind, n, first, alpha, symbol, pos, v) AS (
+  SELECT 'up', 14, 2, 1.0::DOUBLE / 14, symbol, pos, greatest(step, 0) FROM moves WHERE step IS NOT NULL UNION ALL SELECT 'down', 14, 2, 1.0::DOUBLE / 14, symbol, pos, greatest(-step, 0) FROM moves WHERE step IS NOT NULL
+  UNION ALL SELECT 'fast', 12, 1, 2.0::DOUBLE / 13, symbol, pos, close FROM moves UNION ALL SELECT 'slow', 26, 1, 2.0::DOUBLE / 27, symbol, pos, close FROM moves),
+y(kind, symbol, pos, v) AS (
+  SELECT kind, symbol, max(pos), avg(v) FROM steps WHERE pos < first + n GROUP BY kind, symbol, n HAVING count(*) = n
+  UNION ALL SELECT s.kind, s.symbol, s.pos, y.v + s.alpha * (s.v - y.v) FROM y JOIN steps s ON s.kind = y.kind AND s.symbol = y.symbol AND s.pos = y.pos + 1),
+line AS (SELECT a.symbol, a.pos, a.v - b.v AS v FROM y a JOIN y b ON a.symbol = b.symbol AND a.pos = b.pos WHERE a.kind = 'fast' AND b.kind = 'slow'),
+z(symbol, pos, v) AS (
+  SELECT symbol, max(pos), avg(v) FROM line WHERE pos < 26 + 9 GROUP BY symbol HAVING count(*) = 9
+  UNION ALL SELECT s.symbol, s.pos, z.v + 0.2::DOUBLE * (s.v - z.v) FROM z JOIN line s ON s.symbol = z.symbol AND s.pos = z.pos + 1)
+SELECT r.symbol, r.date, round(CASE WHEN d.v = 0 THEN CASE WHEN u.v = 0 THEN 50 ELSE 100 END ELSE 100 - 100 / (1 + u.v / d.v) END, 4) AS rsi14,
+  round(line.v, 4) AS macd, round(z.v, 4) AS macd_signal, round(line.v - z.v, 4) AS macd_hist
+FROM returns r LEFT JOIN y u ON u.kind = 'up' AND u.symbol = r.symbol AND u.pos = r.pos LEFT JOIN y d ON d.kind = 'down' AND d.symbol = r.symbol AND d.pos = r.pos
+  LEFT JOIN line ON line.symbol = r.symbol AND line.pos = r.pos LEFT JOIN z ON z.symbol = r.symbol AND z.pos = r.pos""")
 def rsi_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indicators.recursive_indicators(day_bars(spark, sf_dir)).select("symbol", "date", "rsi14", "macd", "macd_signal", "macd_hist")
+    out = indicators.recursive_indicators(day_bars(spark, sf_dir))
+    return out.select("symbol", "date", *[F.round(x, 4).alias(x) for x in ("rsi14", "macd", "macd_signal", "macd_hist")])
 
 
 @register("trend_regime", f"""WITH {BARS}, s AS (
@@ -140,9 +172,14 @@ def trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regimes.trend_regime(day_bars(spark, sf_dir)).select("symbol", "date", "trend")
 
 
-@register("vol_regime")
+@register("vol_regime", f"""WITH {RETURNS}, a AS (SELECT *, {guard(f"stddev_samp(ret) {over(20)} * sqrt(252)", "ret", 20, 16)} AS vol20 FROM returns),
+b AS (SELECT *, list(vol20) FILTER (WHERE vol20 IS NOT NULL) {over(756)} AS v FROM a),
+p AS (SELECT *, CASE WHEN len(v) >= 252 THEN 100.0::DOUBLE * (len(list_filter(v, lambda z: z < v[-1])) + 0.5::DOUBLE * (len(list_filter(v, lambda z: z = v[-1])) - 1)) / greatest(len(v) - 1, 1) END AS pct FROM b)
+SELECT symbol, date, round(vol20, 6) AS vol20, round(pct, 6) AS vol_pctile,
+  CASE WHEN pct IS NULL THEN 'insufficient_data' WHEN pct > 95 THEN 'extreme' WHEN pct > 75 THEN 'high' WHEN pct < 25 THEN 'low' ELSE 'normal' END AS vol_regime FROM p""")
 def vol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regimes.vol_regime(day_returns(spark, sf_dir)).select("symbol", "date", "vol20", "vol_pctile", "vol_regime")
+    out = regimes.vol_regime(day_returns(spark, sf_dir))
+    return out.select("symbol", "date", F.round("vol20", 6).alias("vol20"), F.round("vol_pctile", 6).alias("vol_pctile"), "vol_regime")
 
 
 PIVOTS = f"""WITH {BARS}, f AS (SELECT *, count(*) OVER w AS n, max(high) OVER w AS h, min(low) OVER w AS l, lead(date, 5) OVER (PARTITION BY symbol ORDER BY date) AS confirmed_at
@@ -155,10 +192,24 @@ def pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regimes.swing_pivots(day_bars(spark, sf_dir))
 
 
-@register("support_resistance")
+@register("support_resistance", f"""WITH RECURSIVE {RETURNS}, spans AS (
+  SELECT symbol, pos, greatest(high - low, abs(high - b), abs(low - b)) AS v FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS b FROM returns) WHERE b IS NOT NULL),
+y(symbol, pos, v) AS (
+  SELECT symbol, max(pos), avg(v) FROM spans WHERE pos <= 15 GROUP BY symbol HAVING count(*) = 14
+  UNION ALL SELECT s.symbol, s.pos, y.v + (1.0::DOUBLE / 14) * (s.v - y.v) FROM y JOIN spans s ON s.symbol = y.symbol AND s.pos = y.pos + 1),
+piv AS ({PIVOTS}),
+edge AS (SELECT symbol, min(date) AS since, max(date) AS as_of, arg_max(close, date) AS last, max(pos) AS pos FROM (SELECT *, max(pos) OVER (PARTITION BY symbol) AS top FROM returns) WHERE pos > top - 250 GROUP BY symbol),
+sides AS (SELECT p.symbol, p.price, abs(p.price - e.last) AS far, CASE WHEN p.price < e.last THEN 'support' ELSE 'resistance' END AS side, 0.5::DOUBLE * y.v AS width
+  FROM piv p JOIN edge e ON p.symbol = e.symbol LEFT JOIN y ON y.symbol = e.symbol AND y.pos = e.pos WHERE p.date >= e.since AND p.confirmed_at <= e.as_of AND p.price <> e.last),
+near AS (SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY far, price) AS n FROM sides),
+walk(symbol, side, n, price, head, k) AS (
+  SELECT symbol, side, n, price, price, 1 FROM near WHERE n = 1
+  UNION ALL SELECT s.symbol, s.side, s.n, s.price, CASE WHEN abs(s.price - w.head) <= s.width THEN w.head ELSE s.price END, CASE WHEN abs(s.price - w.head) <= s.width THEN w.k ELSE w.k + 1 END
+  FROM walk w JOIN near s ON s.symbol = w.symbol AND s.side = w.side AND s.n = w.n + 1)
+SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY side DESC, k) AS INT) AS rank, side, round(avg(price), 4) AS price, CAST(count(*) AS INT) AS touches FROM walk WHERE k <= 2 GROUP BY symbol, side, k""")
 def support(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = day_bars(spark, sf_dir)
-    return regimes.support_resistance(indicators.recursive_indicators(rows), regimes.swing_pivots(rows))
+    return regimes.support_resistance(indicators.recursive_indicators(rows), regimes.swing_pivots(rows)).withColumn("price", F.round("price", 4))
 
 
 def aggregate(name: str, value: Callable[[], Column], sql: str) -> None:
@@ -303,10 +354,26 @@ def backtest_sma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", "date", "position", "trade", F.round(F.log("equity"), 5).alias("log_equity"))
 
 
-@register("backtest_metrics")
+EXCESS = ("total_return", "cagr", "vol", "sharpe", "max_drawdown")
+
+
+@register("backtest_metrics", f"""WITH {BARS}, t AS (
+  SELECT *, lag(close) OVER w AS pc, CASE WHEN row_number() OVER w = 1 THEN 1.0::DOUBLE END AS hold,
+    CASE WHEN count(close) {over(200)} >= 200 THEN CASE WHEN avg(close) {over(50)} > avg(close) {over(200)} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS crossed
+  FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+u AS (SELECT 's' AS kind, crossed AS target, * FROM t UNION ALL SELECT 'b', hold, * FROM t),
+p AS (SELECT *, coalesce(last_value(target IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0::DOUBLE) AS pend, row_number() OVER w AS n FROM u WINDOW w AS (PARTITION BY kind, symbol ORDER BY date)),
+q AS (SELECT *, coalesce(lag(pend) OVER w, 0::DOUBLE) AS pos, coalesce(lag(pend, 2) OVER w, 0::DOUBLE) AS held FROM p WINDOW w AS (PARTITION BY kind, symbol ORDER BY date)),
+f AS (SELECT *, CASE WHEN pc IS NULL THEN 1 ELSE (1 + held * (open / pc - 1)) * (1 - abs(pos - held) * 0.001) * (1 + pos * (close / open - 1)) END AS f FROM q),
+e AS (SELECT *, product(f) OVER (PARTITION BY kind, symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity FROM f),
+d AS (SELECT *, f - 1 AS r, equity / greatest(1, max(equity) OVER (PARTITION BY kind, symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) - 1 AS fall FROM e),
+m AS (SELECT kind, symbol, product(1 + r) - 1 AS total_return, pow(product(1 + r), 252.0::DOUBLE / count(*)) - 1 AS cagr, stddev_samp(r) * sqrt(252) AS vol,
+    avg(r) / stddev_samp(r) * sqrt(252) AS sharpe, min(fall) AS max_drawdown FROM d WHERE n > 1 GROUP BY kind, symbol)
+SELECT s.symbol, {", ".join(f"round(s.{x} - b.{x}, 5) AS {x}" for x in EXCESS)} FROM m s JOIN m b ON s.symbol = b.symbol WHERE s.kind = 's' AND b.kind = 'b'""")
 def backtest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = backtest.sma_targets(day_bars(spark, sf_dir)).withColumn("roll", F.lit(False))
-    return backtest.excess(backtest.metrics(backtest.run(rows)), backtest.metrics(backtest.run(backtest.buy_and_hold(rows))))
+    out = backtest.excess(backtest.metrics(backtest.run(rows)), backtest.metrics(backtest.run(backtest.buy_and_hold(rows))), EXCESS)
+    return out.select("symbol", *[F.round(x, 5).alias(x) for x in EXCESS])
 
 
 # quality and rolls
