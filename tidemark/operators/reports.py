@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import re
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import variant
+
 from .text import normalised, tolerance, written_decimals
 
 
@@ -84,38 +82,9 @@ def score(answers: DataFrame) -> DataFrame:
     return answers.withColumn("correct", F.coalesce(right, F.lit(False)))
 
 
-_STEP = re.compile(r"(?P<key>[^\[\]]+)?(?:\[(?P<pick>[^\]]+)\])?")
-
-
-def _followed(payload: str | None, path: str | None) -> str | None:
-    """The JSON of what a path such as a.b[name=x].c[0] leads to; None where it leads nowhere."""
-    try:
-        node = json.loads(payload or "")
-        for part in re.split(r"\.(?![^\[]*\])", path or ""):
-            step = _STEP.fullmatch(part)
-            if step["key"]:
-                node = node[step["key"]]
-            if step["pick"] and "=" in step["pick"]:
-                name, want = step["pick"].split("=", 1)
-                same = lambda x: str(x) == want or (isinstance(x, int | float) and _number(want) == x)  # noqa: B023, E731
-                node = next(x for x in node if same(x.get(name)))
-            elif step["pick"]:
-                node = node[int(step["pick"])]
-        return json.dumps(node)
-    except (ValueError, KeyError, IndexError, TypeError, AttributeError, StopIteration):
-        return None
-
-
-def _number(text: str) -> float | None:
-    try:
-        return float(text)
-    except ValueError:
-        return None
-
-
 def extract(payload: Column, path: Column) -> Column:
     """What a path leads to in a JSON text, as JSON; null where it leads nowhere."""
-    return F.arrow_udf(lambda p, q: pa.array(map(_followed, p.to_pylist(), q.to_pylist()), pa.string()), "string")(payload, path)
+    return F.to_json(variant.followed(F.try_parse_json(payload), path))
 
 
 def reference_answers(questions: DataFrame, payloads: DataFrame) -> DataFrame:
