@@ -9,13 +9,16 @@ from __future__ import annotations
 
 import math
 from statistics import NormalDist
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import evaluate
+from tidemark.sources.written import Written
+
+from . import boost, evaluate
 from .evaluate import QUANTILES, Plan
 
 Z = {c: NormalDist().inv_cdf(q) for c, q in QUANTILES.items()}
@@ -94,19 +97,37 @@ def statistical(folds: DataFrame, returns: DataFrame, horizons: tuple[int, ...],
     return own.groupBy("symbol", "fold").applyInPandas(run, "symbol string, model string, horizon int, fold int, pos bigint, q10 double, q50 double, q90 double, p_up double")
 
 
-def walk_forward(returns: DataFrame, horizon: int, plan: Plan = Plan(), with_models: bool = True) -> DataFrame:
-    """The leaderboards of all series (symbol, pos, ret) at a horizon: naive, drift, ar, ses, their blend and the best so far."""
-    returns = returns.persist()
-    folds = evaluate.fold_table(returns.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")), plan).persist()
+class Features(NamedTuple):
+    """Rows (symbol, pos, names...) that boosted trees see, and how they grow."""
+
+    rows: DataFrame
+    names: tuple[str, ...]
+    settings: boost.Settings = boost.Settings()
+
+
+def walk_forward(returns: DataFrame, horizon: int, plan: Plan = Plan(), with_models: bool = True, features: Features | None = None) -> DataFrame:
+    """The leaderboards of all series (symbol, pos, ret) at a horizon: naive, drift, ar, ses, boosted trees on features, their blend and the best so far.
+
+    What is read more than once is written to the shared folder; only the
+    scored predictions stay there, as the board still reads them.
+    """
+    written = Written(returns.sparkSession, "walk")
+    returns = written.save(returns, "returns")
+    folds = written.save(evaluate.fold_table(returns.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")), plan), "folds")
     columns = ["symbol", "model", "horizon", "fold", "pos", *QUANTILES, "p_up"]
+    realized = written.save(evaluate.labels(returns, horizon), "labels")
     preds = evaluate.empirical(folds.select("symbol", "fold", "pos"), returns, horizon).select(*columns)
     if with_models:
         preds = preds.unionByName(statistical(folds, returns, (horizon,)).select(*columns))
-    preds = preds.persist()  # read by the losses, both blends and the board
-    realized = evaluate.labels(returns, horizon).persist()
-    past = evaluate.past_losses(evaluate.losses(preds, realized), folds, horizon).persist()
+    if features:
+        rows = features.rows.select("symbol", "pos", *features.names).join(realized.select("symbol", "pos", "y"), ["symbol", "pos"])
+        grown, _ = boost.forecasts(rows, folds, features.names, horizon, QUANTILES, plan.refit_every, settings=features.settings)
+        preds = preds.unionByName(grown.select(*columns))
+    preds = written.save(preds, "predictions")  # read by the losses, both blends and the board
+    past = written.save(evaluate.past_losses(evaluate.losses(preds, realized), folds, horizon), "past")
     keys = ["symbol", "fold"]
     blended = evaluate.blend(preds, evaluate.inverse_loss_weights(past, keys), "ensemble").unionByName(evaluate.blend(preds, evaluate.best_only(past, keys), "auto_select"))
     block = max(math.ceil(horizon / plan.stride), plan.refit_every * math.ceil(plan.step / plan.stride))
-    scored = evaluate.losses(preds.unionByName(blended.select(*columns)), realized).persist()  # what is read more than once is kept, on disk where memory is short
+    scored = written.save(evaluate.losses(preds.unionByName(blended.select(*columns)), realized), "scored")
+    written.drop("returns", "folds", "labels", "predictions", "past")
     return evaluate.leaderboard(scored, horizon, block)

@@ -83,10 +83,15 @@ def curve_metrics(curve: DataFrame, flat: float = 0.001) -> DataFrame:
     steps = curve.filter("settle > 0").withColumn("at", F.row_number().over(order)).withColumn("next", F.lead("settle").over(order)).withColumn("rel", F.try_divide(F.col("next"), F.col("settle")) - 1)
     steps = steps.withColumn("next_expiry", F.lead("expiry").over(order))
     first = lambda c: F.max(F.when(F.col("at") == 1, F.col(c)))
-    rel = F.col("rel")
+    rel, last, enough = F.col("rel"), F.max_by("settle", "expiry"), F.count(F.lit(1)) >= 2
     shape = F.when(F.every(F.coalesce(F.abs(rel) <= flat, F.lit(True))), "flat").when(F.every(F.coalesce(rel <= flat, F.lit(True))), "backwardation").when(F.every(F.coalesce(rel >= -flat, F.lit(True))), "contango").otherwise("mixed")
-    years = F.datediff(first("next_expiry"), first("expiry")) / 365.25
+    yearly = lambda end, settle: F.try_divide(F.log(F.try_divide(first("settle"), settle)), F.datediff(end, first("expiry")) / 365.25)
     return steps.groupBy("symbol").agg(
-        F.when(F.count(F.lit(1)) >= 2, first("settle") - first("next")).alias("m1_m2"), F.when(F.count(F.lit(1)) >= 2, F.log(F.try_divide(first("settle"), first("next"))) / F.nullif(years, F.lit(0.0))).alias("roll_yield"),
-        F.when(F.count(F.lit(1)) >= 2, F.min_by("settle", "expiry") - F.max_by("settle", "expiry")).alias("front_back"), F.when(F.count(F.lit(1)) >= 2, shape).alias("shape"),
-    )
+        F.when(enough, first("settle") - first("next")).alias("m1_m2"),
+        F.when(enough, F.try_divide(first("settle") - first("next"), first("next"))).alias("m1_m2_pct"),
+        F.when(enough, yearly(first("next_expiry"), first("next"))).alias("roll_yield"),
+        F.when(enough, first("settle") - last).alias("front_back"),
+        F.when(enough, yearly(F.max("expiry"), last)).alias("front_back_ann"),
+        F.when(enough, shape).alias("shape"),
+        F.count(F.lit(1)).cast("int").alias("contracts"),
+    )

@@ -71,15 +71,21 @@ def feature_returns(bars: DataFrame, windows: DataFrame) -> DataFrame:
     return rolls.in_windows(bars.withColumn("_raw", raw), windows).withColumn("ret", F.when(~F.col("in_window"), F.col("_raw"))).drop("_raw")
 
 
-def prices(bars: DataFrame, instruments: DataFrame, as_of: dt.date | None = None, calendar: str = "cme") -> Prices:
-    """Bars up to as_of with masked returns, their rolls and the issues found.
+def prices(bars: DataFrame, instruments: DataFrame, as_of: dt.date | None = None, calendar: str | None = None) -> Prices:
+    """Bars up to as_of with masked returns, their rolls and the issues found, each symbol by the calendar of its exchange.
 
-    Later bars are dropped before anything is detected, so nothing here can see them.
+    Later bars are dropped before anything is detected, so nothing here can see
+    them. A symbol that has none left is an `empty` issue, an error. A calendar
+    that is given holds for all symbols.
     """
     seen = bars if as_of is None else bars.filter(F.col("date") <= F.lit(as_of))
-    frame, found = roll_adjust(seen, roll_windows(seen, instruments_of(seen, instruments)).persist())  # a few rows a symbol and year, read by all three
-    today = F.lit(as_of) if as_of else F.current_date()
-    issues = quality.report(seen, frame.select("symbol", "date", "ret"), today, calendar).unionByName(quality.rolls(found))
+    listed = instruments_of(bars, instruments).withColumn("calendar", calendars.calendar_for(F.col("exchange")) if calendar is None else F.lit(calendar))
+    frame, found = roll_adjust(seen, roll_windows(seen, listed))
+    today, returns = F.lit(as_of) if as_of else F.current_date(), frame.select("symbol", "date", "ret")
+    issues = quality.rolls(found).unionByName(quality.empty(bars, seen))
+    for name in [calendar] if calendar else sorted({*calendars.EXCHANGES.values(), "cme"}):
+        own = listed.filter(F.col("calendar") == name).select("symbol")
+        issues = issues.unionByName(quality.report(seen.join(own, "symbol", "left_semi"), returns.join(own, "symbol", "left_semi"), today, name))
     return Prices(frame, found, issues)
 
 
@@ -99,17 +105,35 @@ def first_releases(rows: DataFrame, lag_days: int = 1, zone: str = "America/New_
     return first.withColumn("available_at", pit.next_day_availability(F.col("first_published"), lag_days, zone))
 
 
-def known(rows: DataFrame, decisions: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """The rows that were public at each decision (by, t)."""
-    return rows.join(decisions.select(*by, "t"), list(by)).filter(F.col("available_at") <= F.col("t"))
+def positions_at(reports: DataFrame, decisions: DataFrame, weeks: int = 156, least: int = 78, late: int = 26) -> DataFrame:
+    """One row a decision (symbol, t) with public reports: the last one's net position, share, weekly change, percentile and commercial net.
 
-
-def positions_at(reports: DataFrame, decisions: DataFrame) -> DataFrame:
-    """One row a decision (symbol, t): the last public report's net position, share, weekly change, percentile and commercial net."""
-    rows = fundamentals.positioning(known(reports, decisions))
+    Change and percentile of a report are worked out once, over those before it
+    that were public when it was; a report that comes out later than a newer one
+    adds a version of each that it changes, from its own release on. Up to
+    `late` reports may be overdue at once. Then an as-of join: nothing is
+    repeated for each decision. A report of null numbers counts as the last,
+    with null results.
+    """
     commercial = F.col("commercial_long") - F.col("commercial_short") if "commercial_long" in reports.columns else F.lit(None).cast("double")
-    fields = F.struct(F.col("date").alias("report_date"), F.col("available_at").alias("released_at"), "net", "share", "change", "pctile", commercial.alias("commercial_net"))
-    return rows.groupBy("symbol", "t").agg(F.max_by(fields, "date").alias("positions"))
+    net = F.col("long") - F.col("short")
+    rows = reports.withColumns({"net": net, "share": F.try_divide(net, F.col("open_interest")), "commercial_net": commercial, "own": F.col("available_at")})
+    frame = Window.partitionBy("symbol").orderBy("date").rowsBetween(1 - weeks - late, 0)
+    held = rows.withColumn("before", F.collect_list(F.struct("available_at", "net")).over(frame)).filter("own is not null")
+    times = F.array_distinct(F.transform(F.filter("before", lambda b: b.available_at >= F.col("own")), lambda b: b.available_at))
+    versions = held.withColumn("available_at", F.explode(times))
+    public = versions.withColumn("before", F.filter("before", lambda b: b.available_at <= F.col("available_at")))
+    values = F.filter(F.transform(F.slice("before", F.greatest(F.size("before") - weeks + 1, F.lit(1)), weeks), lambda b: b.net), lambda x: x.isNotNull())
+    ranked = public.withColumn("values", values).withColumn("last", F.try_element_at("values", F.lit(-1)))
+    below, same = F.size(F.filter("values", lambda x: x < F.col("last"))), F.size(F.filter("values", lambda x: x == F.col("last")))
+    rank = 100.0 * (below + 0.5 * (same - 1)) / F.greatest(F.size("values") - 1, F.lit(1))
+    fields = F.struct(
+        F.col("date").alias("report_date"), F.col("own").alias("released_at"), "net", "share", (F.col("net") - F.try_element_at("before", F.lit(-2)).net).alias("change"),
+        F.when(F.size("values") >= least, rank).alias("pctile"), "commercial_net",
+    )
+    ready = ranked.select("symbol", "available_at", F.struct("date", "available_at").alias("version"), fields.alias("positions"))
+    found = pit.as_of_join(decisions.select("symbol", "t"), ready, "t", "available_at", ["positions"], by=("symbol",), tie="version", order_by="period")
+    return found.filter("positions is not null")
 
 
 def crack_at(bars: DataFrame, as_of: Column, window: int = 252) -> DataFrame:
