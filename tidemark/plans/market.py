@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import reports, services, text
+from tidemark.sources import ranges
 from tidemark.sources.tables import table
 
 from .catalog import register
@@ -78,3 +79,36 @@ def json_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda f: F.size(F.filter("l", f))
     total = F.aggregate("l", F.lit(0.0), lambda s, x: s + F.coalesce(x.v, F.lit(0.0)))
     return rows.select("event_id", count(lambda x: x.v.isNotNull()).alias("numbers"), count(lambda x: x.raw_percent).alias("percentages"), count(lambda x: x.s.isNotNull()).alias("strings"), F.round(total, 4).alias("total"))
+
+
+# every customer's orders stand for a cached series: what it covers, when it was last fetched, and what is asked of it now
+@register("ranges_to_fetch", """WITH held AS (
+  SELECT o_custkey AS key, min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders WHERE o_custkey % 7 <> 0 GROUP BY 1),
+asked AS (
+  SELECT DISTINCT o_custkey AS key, DATE '1995-01-01' + CAST(o_custkey % 900 AS INT) AS s, DATE '2001-08-01' - CAST(o_custkey % 800 AS INT) AS e, o_custkey % 11 = 0 AS refresh, o_custkey % 48 > 24 AS old FROM orders)
+SELECT key, 'all' AS part, s AS first, e AS last FROM asked LEFT JOIN held USING (key) WHERE a IS NULL OR refresh
+UNION ALL SELECT key, 'head', s, a - 1 FROM asked JOIN held USING (key) WHERE NOT refresh AND s < a
+UNION ALL SELECT key, 'tail', b - 7, e FROM asked JOIN held USING (key) WHERE NOT refresh AND old AND e >= b""")
+def ranges_to_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(c("o_custkey").alias("key"), F.to_date("o_orderdate").alias("date"))
+    now, k = F.lit("2001-09-01 00:00:00").cast("timestamp"), c("key")
+    fetched = F.timestamp_seconds(F.unix_timestamp(now) - 3600 * (k % 48))
+    coverage = orders.filter(k % 7 != 0).groupBy("key").agg(F.min("date").alias("coverage_start"), F.max("date").alias("last_row")).withColumn("fetched_at", fetched)
+    start, end = F.date_add(F.lit("1995-01-01").cast("date"), (k % 900).cast("int")), F.date_sub(F.lit("2001-08-01").cast("date"), (k % 800).cast("int"))
+    asked = orders.select("key").distinct().select("key", start.alias("start"), end.alias("end"), now.alias("now"), F.lit(24.0).alias("ttl_hours"), (k % 11 == 0).alias("refresh"))
+    return ranges.to_fetch(asked, coverage, ["key"]).select("key", F.inline("parts"))
+
+
+@register("ranges_missing", """WITH held AS (
+  SELECT DISTINCT o_custkey AS key, CAST(unnest(generate_series(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + 45, INTERVAL 1 DAY)) AS DATE) AS day FROM orders),
+asked AS (
+  SELECT DISTINCT o_custkey AS key, CAST(unnest(generate_series(DATE '1996-01-01' + CAST(o_custkey % 90 AS INT), DATE '1998-12-31', INTERVAL 1 DAY)) AS DATE) AS day FROM orders),
+gone AS (SELECT key, day FROM asked EXCEPT SELECT key, day FROM held),
+runs AS (SELECT key, day, day - CAST(row_number() OVER (PARTITION BY key ORDER BY day) AS INT) AS run FROM gone)
+SELECT key, min(day) AS first, max(day) AS last FROM runs GROUP BY key, run""")
+def ranges_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What 45 days from each order leave open of three years, as ranges."""
+    held = table(spark, sf_dir, "orders").select(c("o_custkey").alias("key"), F.to_date("o_orderdate").alias("first"), F.date_add(F.to_date("o_orderdate"), 45).alias("last"))
+    start = F.date_add(F.lit("1996-01-01").cast("date"), (c("key") % 90).cast("int"))
+    wanted = held.select("key").distinct().select("key", start.alias("first"), F.lit("1998-12-31").cast("date").alias("last"))
+    return ranges.missing(wanted, held, ["key"])
