@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,28 +42,68 @@ def apply_overrides(rows: DataFrame, overrides: Sequence[tuple[dt.date, dt.date,
     return rows.withColumn(available, out)
 
 
+#: Days of one bucket of time, and how many halvings reach from all buckets down to one.
+BUCKET_DAYS, LEVELS = 32, 18
+
+
+def _same(keys: Sequence[str], other: str = "_r_") -> Column:
+    """Keys that agree, null with null; the right side has them under other names."""
+    return reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"{other}{k}")), keys, F.lit(True))
+
+
+def _nearest(left: DataFrame, right: DataFrame, by: Sequence[str], tie: str | None, greatest: bool = False, forward: bool = False, strict: bool = False) -> DataFrame:
+    """left (by, _t, _left) with _found, the best _v of right (by, _t, _v) up to its time, or from it on if forward.
+
+    Time is cut into buckets, so no key is ever sorted in one task. Within a
+    bucket a window answers. What all earlier buckets have comes from sums over
+    dyadic runs of buckets: a bucket adds to LEVELS of them, and everything
+    before a bucket is at most LEVELS of them again, which meet by equal keys.
+    Best is the last by time and tie, or the greatest tie.
+    """
+    days = F.unix_date(F.col("_t").cast("date"))
+    bucket = (F.floor((-days if forward else days) / BUCKET_DAYS) + (1 << (LEVELS - 1))).cast("long")
+    pick = F.min_by if forward else F.max_by
+    order = F.struct(F.col(f"_x._v.{tie}")) if greatest else F.struct("_x._t", *([F.col(f"_x._v.{tie}")] if tie else []))
+    a = left.withColumn("_b", bucket)
+    b = right.filter("_t is not null").withColumn("_b", bucket).select(*by, "_t", "_b", F.struct("_t", "_v").alias("_x"))
+    halved = lambda frame: frame.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("_n", F.expr("shiftright(_b, _l)"))
+    sums = halved(b.groupBy(*by, "_b").agg(pick("_x", order).alias("_x"))).groupBy(*by, "_l", "_n").agg(pick("_x", order).alias("_x"))
+    asked = halved(a.filter("_b is not null").select(*by, "_b").distinct()).filter("_n % 2 = 1").withColumn("_n", F.col("_n") - 1)
+    keys = [*by, "_l", "_n"]
+    met = asked.join(sums.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "_x"), _same(keys))
+    carried = met.groupBy(*by, "_b").agg(pick("_x", order).alias("_c")).select(*[F.col(k).alias(f"_r_{k}") for k in (*by, "_b")], "_c")
+    nothing = lambda frame, c: F.lit(None).cast(frame.schema[c].dataType).alias(c)
+    side = F.lit(0 if strict else 1)
+    both = a.select(*by, "_t", "_b", side.alias("_side"), "_left", nothing(b, "_x"), F.lit(True).alias("_own")).unionByName(
+        b.select(*by, "_t", "_b", (1 - side).alias("_side"), nothing(a, "_left"), "_x", F.lit(False).alias("_own"))
+    )
+    along = [F.col("_t").desc() if forward else F.col("_t"), F.col("_side"), *([F.col(f"_x._v.{tie}").asc_nulls_first()] if tie else [])]
+    frame = Window.partitionBy(*by, "_b").orderBy(*along).rowsBetween(Window.unboundedPreceding, 0)
+    found = (F.max_by("_x", order) if greatest else F.last("_x", ignorenulls=True)).over(frame)
+    own = both.withColumn("_f", found).filter("_own").join(carried, _same([*by, "_b"]), "left")
+    best = F.coalesce("_f", "_c")
+    if greatest:
+        best = F.when(F.coalesce(F.col(f"_c._v.{tie}") > F.col(f"_f._v.{tie}"), F.lit(False)), F.col("_c")).otherwise(best)
+    return own.select("_left", best["_v"].alias("_found"))
+
+
 def as_of_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, values: list[str], by: tuple[str, ...] = (), tie: str | None = None, order_by: str = "release") -> DataFrame:
     """Each left row with the values of the last right row whose time is not after its own.
 
-    Both sides go through one window, so a key is sorted once and never
-    multiplied. order_by 'release' takes the latest time, ties by the greatest
-    tie column; 'period' takes the greatest tie column among all that are
-    public. by may be empty only for series that one task can hold.
+    order_by 'release' takes the latest time, ties by the greatest tie column;
+    'period' takes the greatest tie column among all that are public. Rows
+    never multiply, null keys meet null keys, and a null time finds nothing.
     """
     packed = F.struct(*[F.col(c) for c in dict.fromkeys([*([tie] if tie else []), *values])])
-    a = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(packed.alias("v")).schema["v"].dataType).alias("_v"), F.struct(*left.columns).alias("_left"))
-    b = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), packed.alias("_v"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("v")).schema["v"].dataType).alias("_left"))
-    rank = [F.col("_t"), F.col("_side"), *([F.col(f"_v.{tie}").asc_nulls_first()] if tie else [])]
-    frame = Window.partitionBy(*by).orderBy(*rank).rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last("_v", ignorenulls=True) if order_by == "release" else F.max("_v")
-    joined = a.unionByName(b).withColumn("_found", found.over(frame)).filter("_side = 1")
-    return joined.select("_left.*", *[F.col(f"_found.{v}").alias(v) for v in values])
+    a = left.select(*by, F.col(left_time).alias("_t"), F.struct(*left.columns).alias("_left"))
+    b = right.select(*by, F.col(right_time).alias("_t"), packed.alias("_v"))
+    met = _nearest(a, b, by, tie, greatest=order_by == "period")
+    return met.select("_left.*", *[F.col(f"_found.{v}").alias(v) for v in values])
 
 
-def next_after(left: DataFrame, dates: DataFrame, left_date: str, right_date: str, out: str, strict: bool = False) -> DataFrame:
+def next_after(left: DataFrame, dates: DataFrame, left_date: str, right_date: str, out: str, strict: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Each left row with the first date on or after its own (or only after)."""
-    a = left.select(F.col(left_date).alias("_t"), F.lit(1 if strict else 0).alias("_side"), F.struct(*left.columns).alias("_left"))
-    b = dates.select(F.col(right_date).alias("_t"), F.lit(0 if strict else 1).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("v")).schema["v"].dataType).alias("_left"))
-    frame = Window.orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
-    marked = a.unionByName(b).withColumn(out, F.first(F.when(F.col("_left").isNull(), F.col("_t")), ignorenulls=True).over(frame))
-    return marked.filter("_left is not null").select("_left.*", out)
+    a = left.select(*by, F.col(left_date).alias("_t"), F.struct(*left.columns).alias("_left"))
+    b = dates.select(*by, F.col(right_date).alias("_t"), F.struct(F.col(right_date).alias("date")).alias("_v"))
+    met = _nearest(a, b, by, None, forward=True, strict=strict)
+    return met.select("_left.*", F.col("_found.date").alias(out))
