@@ -1,8 +1,8 @@
 """Forecast models and the walk-forward run that scores them.
 
 Rolling quantiles are joins of origins to their own frames. Autoregression
-and exponential smoothing are fitted per (fold, symbol) in grouped pandas;
-they stand in, with fewer orders, for a full search over ARIMA and ETS.
+and exponential smoothing are fitted per (fold, symbol) in grouped pandas; the
+search over ARIMA and ETS is in `statespace`, boosted trees in `boost`.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.written import Written
 
-from . import boost, evaluate
+from . import boost, evaluate, statespace
 from .evaluate import QUANTILES, Plan
 
 Z = {c: NormalDist().inv_cdf(q) for c, q in QUANTILES.items()}
@@ -105,8 +105,8 @@ class Features(NamedTuple):
     settings: boost.Settings = boost.Settings()
 
 
-def walk_forward(returns: DataFrame, horizon: int, plan: Plan = Plan(), with_models: bool = True, features: Features | None = None) -> DataFrame:
-    """The leaderboards of all series (symbol, pos, ret) at a horizon: naive, drift, ar, ses, boosted trees on features, their blend and the best so far.
+def walk_forward(returns: DataFrame, horizon: int, plan: Plan = Plan(), with_models: bool = True, features: Features | None = None, search: bool = False) -> DataFrame:
+    """The leaderboards of all series (symbol, pos, ret) at a horizon: naive, drift, ar, ses, boosted trees on features, searched ARIMA and ETS, their blend and the best so far.
 
     What is read more than once is written to the shared folder; only the
     scored predictions stay there, as the board still reads them.
@@ -119,6 +119,8 @@ def walk_forward(returns: DataFrame, horizon: int, plan: Plan = Plan(), with_mod
     preds = evaluate.empirical(folds.select("symbol", "fold", "pos"), returns, horizon).select(*columns)
     if with_models:
         preds = preds.unionByName(statistical(folds, returns, (horizon,)).select(*columns))
+    if search:
+        preds = preds.unionByName(statespace.searched(folds, returns, (horizon,), QUANTILES, plan.refit_every).select(*columns))
     if features:
         rows = features.rows.select("symbol", "pos", *features.names).join(realized.select("symbol", "pos", "y"), ["symbol", "pos"])
         grown, _ = boost.forecasts(rows, folds, features.names, horizon, QUANTILES, plan.refit_every, settings=features.settings)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import boost, features, forecast
+from tidemark.operators import boost, evaluate, features, forecast
 
 from .catalog import register
 from .series import RETURNS, all_series, c, day_returns, over, rolled
 
+SELDOM = evaluate.Plan(refit_every=10)  # each model serves ten folds
 NAMES = ("cum_5", "vol_20", "dd_252")
 BINS = 16
 SEEN = f"""{RETURNS}, level AS (SELECT *, exp(sum(coalesce(ret, 0)) {over()}) AS level FROM returns),
@@ -63,4 +64,10 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees beside the other models, every symbol at a horizon of five."""
     rows = features.price_features(day_returns(spark, sf_dir)).withColumn("pos", c("pos") - 1)
     names = ("r1", "cum_5", "cum_20", "cum_60", "vol_5", "vol_20", "vol_ratio_5_60", "dist_sma20", "dist_sma50", "dd_252")
-    return forecast.walk_forward(all_series(spark, sf_dir), 5, features=forecast.Features(rows, names, boost.Settings(trees=10, depth=2, rate=0.25)))
+    return forecast.walk_forward(all_series(spark, sf_dir), 5, SELDOM, features=forecast.Features(rows, names, boost.Settings(trees=10, depth=2, rate=0.25)))
+
+
+@register("statespace_leaderboard")
+def statespace_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searched ARIMA and ETS beside autoregression and simple smoothing, every symbol at a horizon of five."""
+    return forecast.walk_forward(all_series(spark, sf_dir), 5, SELDOM, search=True)
