@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import backtest, evaluate, regimes
+from tidemark.functions.stats import t_cdf
+
+from . import backtest, evaluate, pit, regimes
 
 #: The sign of an analyst's stance.
 STANCES = {"bullish": 1.0, "neutral": 0.0, "bearish": -1.0}
@@ -68,14 +70,35 @@ def past_skill(scored: DataFrame, decisions: DataFrame, model: str, horizon: int
     """(symbol, at, scored, skill, p) of a model at each decision (symbol, at), on forecasts whose labels were final by then.
 
     A label that ends at pos + horizon counts once embargo more rows are there.
+    What is settled at a decision is a prefix of the symbol's forecasts, so
+    losses and whole blocks are running sums that an as-of join looks up. Only
+    a prefix of fewer than four blocks, whose blocks are shorter, is gathered:
+    that is less than 4 x block rows a decision.
     """
     own = scored.filter(F.col("horizon") == horizon)
     base = own.filter(F.col("model") == baseline).select("symbol", "pos", F.col("loss").alias("base_loss"))
-    pairs = own.filter(F.col("model") == model).join(base, ["symbol", "pos"]).select("symbol", "pos", "loss", "base_loss")
-    settled = decisions.select("symbol", "at").join(pairs, "symbol").filter(F.col("pos") + horizon + embargo <= F.col("at"))
-    mean = settled.groupBy("symbol", "at").agg(F.count(F.lit(1)).alias("scored"), F.when(F.avg("base_loss") > 0, 1 - F.avg("loss") / F.avg("base_loss")).alias("skill")).filter(F.col("scored") >= least)
-    tested = evaluate.block_test(settled.select("symbol", "at", "pos", (F.col("loss") - F.col("base_loss")).alias("d")), ["symbol", "at"], block)
-    return mean.join(tested.select("symbol", "at", "p"), ["symbol", "at"], "left")
+    pairs = own.filter(F.col("model") == model).join(base, ["symbol", "pos"]).select("symbol", F.col("pos").cast("long").alias("pos"), "loss", "base_loss", (F.col("loss") - F.col("base_loss")).alias("d"))
+    order = Window.partitionBy("symbol").orderBy("pos")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = pairs.withColumns({"i": F.row_number().over(order) - 1, "sum_loss": F.sum("loss").over(so_far), "sum_base": F.sum("base_loss").over(so_far), "tested": F.count("d").over(so_far)})
+    # whole blocks of the differences there are, and what has been summed over those up to each
+    known = rows.filter("d is not null").withColumn("b", F.floor((F.col("tested") - 1) / block))
+    ends = known.groupBy("symbol", "b").agg(F.max("pos").alias("pos"), F.avg("d").alias("m"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == block)
+    upto = Window.partitionBy("symbol").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.select("symbol", "pos", F.count("m").over(upto).alias("blocks"), F.avg("m").over(upto).alias("mean"), F.stddev_samp("m").over(upto).alias("sd"))
+    asked = decisions.select("symbol", "at", (F.col("at") - horizon - embargo).cast("long").alias("cut")).distinct()
+    met = pit.as_of_join(asked, rows, "cut", "pos", ["i", "sum_loss", "sum_base", "tested"], by=("symbol",))
+    met = met.withColumn("scored", F.col("i") + 1).filter(F.col("scored") >= least)
+    met = pit.as_of_join(met, ends, "cut", "pos", ["blocks", "mean", "sd"], by=("symbol",))
+    few = met.filter(F.col("tested") < 4 * block).select("symbol", "at", "cut")
+    early = known.filter(F.col("tested") <= 4 * block).select("symbol", "pos", "d")  # fewer than 4 x block rows a symbol
+    short = evaluate.block_test(few.join(early, "symbol").filter("pos <= cut").select("symbol", "at", "pos", "d"), ["symbol", "at"], block)
+    t = F.when(F.col("sd") > 0, F.col("mean") / (F.col("sd") / F.sqrt("blocks")))
+    out = met.join(short.select("symbol", "at", F.col("p").alias("p_short")), ["symbol", "at"], "left")
+    whole = t_cdf(t, (F.col("blocks") - 1).cast("double"))
+    mean_loss, mean_base = F.col("sum_loss") / F.col("scored"), F.col("sum_base") / F.col("scored")
+    skill = F.when(mean_base > 0, 1 - mean_loss / mean_base)
+    return out.withColumn("p_long", whole).select("symbol", "at", F.col("scored").cast("long").alias("scored"), skill.alias("skill"), F.when(F.col("tested") >= 4 * block, F.col("p_long")).otherwise(F.col("p_short")).alias("p"))
 
 
 def settled_signal(p_up: Column, skill: Column, p: Column, alpha: float = 0.05) -> Column:

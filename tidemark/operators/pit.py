@@ -60,7 +60,8 @@ def _nearest(left: DataFrame, right: DataFrame, by: Sequence[str], tie: str | No
     before a bucket is at most LEVELS of them again, which meet by equal keys.
     Best is the last by time and tie, or the greatest tie.
     """
-    days = F.unix_date(F.col("_t").cast("date"))
+    kind = dict(left.dtypes)["_t"]
+    days = F.unix_date(F.col("_t").cast("date")) if kind == "date" or kind.startswith("timestamp") else F.col("_t")  # positions count as days
     bucket = (F.floor((-days if forward else days) / BUCKET_DAYS) + (1 << (LEVELS - 1))).cast("long")
     pick = F.min_by if forward else F.max_by
     order = F.struct(F.col(f"_x._v.{tie}")) if greatest else F.struct("_x._t", *([F.col(f"_x._v.{tie}")] if tie else []))

@@ -64,7 +64,7 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees beside the other models, every symbol at a horizon of five."""
     rows = features.price_features(day_returns(spark, sf_dir)).withColumn("pos", c("pos") - 1)
     names = ("r1", "cum_5", "cum_20", "cum_60", "vol_5", "vol_20", "vol_ratio_5_60", "dist_sma20", "dist_sma50", "dd_252")
-    return forecast.walk_forward(all_series(spark, sf_dir), 5, SELDOM, features=forecast.Features(rows, names, boost.Settings(trees=10, depth=2, rate=0.25)))
+    return forecast.walk_forward(all_series(spark, sf_dir), 5, SELDOM, features=forecast.Features(rows, names, boost.Settings(trees=6, depth=2, rate=0.4)))
 
 
 @register("statespace_leaderboard")
