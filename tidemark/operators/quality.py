@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import island, previous
+from tidemark.sources.written import Written
 
 from . import calendars
 
@@ -102,11 +105,12 @@ def split_suspects(returns: DataFrame, tolerance: float = 0.02) -> DataFrame:
     return issue(returns.filter("ret is not null").filter(near), "split_suspect", "warn", step)
 
 
-def report(bars: DataFrame, returns: DataFrame, today: Column, calendar: str = "cme") -> DataFrame:
-    """All issues of all symbols."""
-    sessions = expected_sessions(bars, calendar)
-    parts = [missing_values(bars), ohlc_inconsistent(bars), nonpositive_price(bars), zero_volume(bars), missing_sessions(bars, sessions), unexpected_sessions(bars, sessions), gaps(bars, sessions), repeated_close(bars), stale(bars, today, calendar=calendar), outliers(returns), split_suspects(returns)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def report(bars: DataFrame, returns: DataFrame, today: Column, calendar: str = "cme", calendar_of: DataFrame | None = None) -> DataFrame:
+    """All issues of all symbols; calendar_of (symbol, calendar) says whose sessions each symbol keeps, else all keep those of one calendar."""
+    names = [calendar] if calendar_of is None else sorted({*calendars.EXCHANGES.values(), calendar})
+    own = {n: bars if calendar_of is None else bars.join(calendar_of.filter(F.col("calendar") == n), "symbol", "left_semi") for n in names}
+    sessions = reduce(DataFrame.unionByName, [expected_sessions(rows, n) for n, rows in own.items()])
+    sessions = Written(bars.sparkSession, "sessions").save(sessions, "expected")  # three checks read it
+    parts = [missing_values(bars), ohlc_inconsistent(bars), nonpositive_price(bars), zero_volume(bars), missing_sessions(bars, sessions), unexpected_sessions(bars, sessions), gaps(bars, sessions), repeated_close(bars)]
+    parts += [*(stale(rows, today, calendar=n) for n, rows in own.items()), outliers(returns), split_suspects(returns)]
+    return reduce(DataFrame.unionByName, parts)

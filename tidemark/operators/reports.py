@@ -38,14 +38,14 @@ def events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path).withColumn("run", F.regexp_extract("_metadata.file_path", r"([^/]+)\.jsonl$", 1))
 
 
-def run_summaries(log: DataFrame, limit: int = 200) -> DataFrame:
-    """Counts of calls and errors, costs, tokens and the last rating of each run, latest names first."""
+def run_summaries(log: DataFrame, limit: int | None = 200) -> DataFrame:
+    """Counts of calls and errors, costs, tokens and the last rating of each run, latest names first; all runs without a limit."""
     kind = lambda k: F.count_if(F.col("kind") == k)
     rows = log.groupBy("run").agg(
         kind("llm").alias("llm_calls"), kind("tool").alias("tool_calls"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"),
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.max_by(F.col("rating"), F.when(F.col("rating").isNotNull(), F.col("seq"))).alias("rating"),
     )
-    return rows.orderBy(F.col("run").desc()).limit(limit)
+    return rows.orderBy(F.col("run").desc()).limit(limit) if limit is not None else rows.orderBy(F.col("run").desc())
 
 
 def cost_by_agent(log: DataFrame) -> DataFrame:

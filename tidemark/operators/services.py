@@ -13,6 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.written import Written
+
 from . import calendars, fundamentals, pit, quality, rolls
 
 RULES = ("cl", "ng", "ttf", "last_bd", "brent")
@@ -80,13 +82,12 @@ def prices(bars: DataFrame, instruments: DataFrame, as_of: dt.date | None = None
     """
     seen = bars if as_of is None else bars.filter(F.col("date") <= F.lit(as_of))
     listed = instruments_of(bars, instruments).withColumn("calendar", calendars.calendar_for(F.col("exchange")) if calendar is None else F.lit(calendar))
-    frame, found = roll_adjust(seen, roll_windows(seen, listed))
+    written = Written(bars.sparkSession, "prices")
+    frame, found = roll_adjust(seen, written.save(roll_windows(seen, listed), "windows"))  # a few rows a symbol and year, read by all three
+    frame, found = written.save(frame, "frame"), written.save(found, "rolls")
     today, returns = F.lit(as_of) if as_of else F.current_date(), frame.select("symbol", "date", "ret")
-    issues = quality.rolls(found).unionByName(quality.empty(bars, seen))
-    for name in [calendar] if calendar else sorted({*calendars.EXCHANGES.values(), "cme"}):
-        own = listed.filter(F.col("calendar") == name).select("symbol")
-        issues = issues.unionByName(quality.report(seen.join(own, "symbol", "left_semi"), returns.join(own, "symbol", "left_semi"), today, name))
-    return Prices(frame, found, issues)
+    issues = quality.report(seen, returns, today, calendar or "cme", listed.select("symbol", "calendar"))
+    return Prices(frame, found, issues.unionByName(quality.rolls(found)).unionByName(quality.empty(bars, seen)))
 
 
 def weekly_series(rows: DataFrame, schedule: Schedule, overrides: Sequence[tuple[dt.date, dt.date, dt.date]] = (), period: str = "period") -> DataFrame:

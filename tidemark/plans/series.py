@@ -431,7 +431,7 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     bought = c("event_type") == "purchase"
     kind = F.when(c("event_type").isin("view", "click"), "llm").when(bought, "tool").otherwise("note")
     log = table(spark, sf_dir, "events").select(c("user_id").cast("string").alias("run"), c("event_id").alias("seq"), kind.alias("kind"), F.when(c("value") > 100, "too dear").alias("error"), c("value").alias("cost"), (c("event_id") % 10).alias("tokens"), F.when(bought, c("event_type")).alias("rating"))
-    return reports.run_summaries(log, log.select("run").distinct().count()).withColumn("cost", F.round("cost", 2))
+    return reports.run_summaries(log, None).withColumn("cost", F.round("cost", 2))
 
 
 register("rating_from_score", "SELECT c_custkey, CASE WHEN s >= 0.45 THEN 'strong_buy' WHEN s >= 0.15 THEN 'buy' WHEN s <= -0.45 THEN 'strong_sell' WHEN s <= -0.15 THEN 'sell' ELSE 'hold' END AS rating FROM (SELECT c_custkey, c_acctbal / 10000 AS s FROM customer)")(lambda spark, sf_dir: table(spark, sf_dir, "customer").select("c_custkey", regimes.rating(c("c_acctbal") / 10000).alias("rating")))
@@ -553,7 +553,8 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rows.groupBy("symbol").agg(latest, technicals)
     simple = simple_returns(spark, sf_dir).withColumn("back", F.row_number().over(newest_first())).filter("back <= 252").drop("back")
     risks = risk.summary(simple)
-    month = fundamentals.month_stats(fundamentals.monthly_returns(day_returns(spark, sf_dir)))
+    ended = fundamentals.monthly_returns(day_returns(spark, sf_dir)).join(rows.groupBy("symbol").agg(F.max("date").alias("_last")), "symbol").filter("month_end < _last")
+    month = fundamentals.month_stats(ended)
     near = regimes.support_resistance(rows, regimes.swing_pivots(day_bars(spark, sf_dir))).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("side", "rank", "price", "touches"))).alias("levels"))
     out = out.join(risks.select("symbol", F.struct(*[x for x in risks.columns if x != "symbol"]).alias("risk")), "symbol", "left").join(near, "symbol", "left")
     season = month.select(c("symbol").alias("_s"), "month", F.struct(*[x for x in month.columns if x != "symbol"]).alias("seasonality"))
