@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, langid, mixing, packing, simhash
+from tidemark.llm import exact, langid, mixing, packing, similar
 from tidemark.llm.scratch import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -34,10 +34,10 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of close fingerprints: that of the least id (null last); of rows that share it, one."""
+    """One row of each component of texts at a similarity of 0.8 or more by five words: that of the least id (null last); of rows that share it, one."""
     held, names = plain(docs)
     held = held.withColumn("h", F.xxhash64(names["text"]))
-    found = simhash.near_duplicates(held, names["doc_id"], names["text"], carry=("h",))
+    found = similar.near_duplicates(held, names["doc_id"], names["text"], carry=("h",))
     best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("stay"))
     stay = Scratch(spark, "near").save(best.select(F.col("stay.doc_id").alias("stay_id"), F.col("stay.h").alias("stay_h")), "stay")
     kept = held.join(stay.hint("merge"), F.col("h").eqNullSafe(F.col("stay_h")) & F.col(names["doc_id"]).eqNullSafe(F.col("stay_id")), "left_semi")
