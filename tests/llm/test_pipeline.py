@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from test_mixing import brute as mixed
 from test_models import SYLLABLES, text
-from test_simhash import brute_components, brute_fingerprint
+from test_similar import brute_least
 
 import corpus_pipeline
 from tidemark.llm import tokens
@@ -43,8 +43,8 @@ def test_stages(spark, tmp_path, documents):
     for i, t in sorted(first.items()):
         last[t] = i
     assert {r.doc_id: r.text for r in seen["exact_copies"]} == {i: t for t, i in last.items()}
-    prints = sorted((i, brute_fingerprint(t)) for t, i in last.items())
-    least = brute_components(prints)
+    least = brute_least(sorted((i, t) for t, i in last.items()))
+    assert len(set(least.values())) == len(least) - 12
     assert sorted(r.doc_id for r in seen["near_copies"]) == sorted(set(least.values()))
 
     rows = [(r.doc_id, r.text, r.source) for r in seen["near_copies"]]
