@@ -47,7 +47,7 @@ SLACK = 1.3
 RECALL = 0.95
 HELD = 16
 NARROWEST = 16  # bits of a block
-BUCKET = 20_000
+BUCKET = 5_000  # a pair of parts takes some 5 s of one core
 SMALL = 32  # prints of a group that are compared by shifts over all groups of a batch
 PART = 255 * 256  # hashes counted at once; a byte lane holds up to 255
 
