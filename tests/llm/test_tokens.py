@@ -33,6 +33,43 @@ def test_long_texts_are_cut_at_white_space(monkeypatch):
     assert [x.tolist() for x in got] == [[*library().encode(t, add_special_tokens=False).ids, 7] for t in ("ab cd " * 60, "x" * 200, "")]
 
 
+def test_every_letter_of_the_shortcut_is_the_library_s():
+    words = [w for c in tokens.LETTERS for w in (c, f"a{c}b", f"{c}{c}.,", f"T{c}é!")]
+    ids, starts = tokens.WordEncoder(tokens.default_vocabulary()).by_words(pa.array(words, pa.large_string()))
+    assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == [library().encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_words_are_known_two_batches_later():
+    words, calls = tokens.WordEncoder(tokens.default_vocabulary()), []
+
+    class Counted:
+        def tokenize(self, word, model=words.model):
+            calls.append(word)
+            return model.tokenize(word)
+
+    words.model = Counted()
+    letters = [chr(97 + k) for k in range(26)]
+    one, two = (pa.array([" ".join(a + b + c + d for b in letters for c in letters for d in letters) for a in part], pa.large_string()) for part in (letters[:5], letters[5:10]))
+    first, _ = words.texts(one), words.texts(two)
+    before = len(calls)
+    again = words.texts(one)
+    assert len(calls) == before > 170_000  # words: about those of two batches of real size
+    assert all((a == b).all() for a, b in zip(first, again, strict=True))
+
+
+@pytest.mark.parametrize("pieces, size", [(0, 1 << 20), (6, 1 << 20), (1000, 50)])
+def test_forgetting_changes_no_id(monkeypatch, pieces, size):
+    monkeypatch.setattr(tokens, "CACHED_PIECES", pieces)
+    monkeypatch.setattr(tokens, "CACHED_BYTES", size)
+    words = tokens.WordEncoder(tokens.default_vocabulary())
+    for texts in (TEXTS, TEXTS[::-1], ["one two, three!", "Two three four.", "x" * 100, ""], TEXTS):
+        texts = [t or "" for t in texts]
+        ids, starts = words.texts(pa.array(texts, pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == [library().encode(t, add_special_tokens=False).ids for t in texts]
+        words.forget()
+        assert len(words.pieces) <= pieces // 2 and len(words.used) == len(words.pieces) == len(words.starts) - 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), min_size=1, max_size=400), st.integers(0, 5))
 def test_blocks_round_trip(values, few):
